@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import exact_dedup
+from sparkgauge.llm import chat_format, exact_dedup, sharding
 
-QUERIES = {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op7_kd_shards": sharding.op7_kd_shards,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
+ORACLES = {
+    "op1_chat_format": chat_format.OP1_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+}
