@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, exact_dedup, sharding
+from sparkgauge.llm import chat_format, decontaminate, exact_dedup, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_kd_shards": sharding.op7_kd_shards,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
