@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, packing, sharding
+from sparkgauge.llm import chat_format, decontaminate, exact_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_quality": quality.op5_quality,
     "op6_pack": packing.op6_pack,
     "op7_kd_shards": sharding.op7_kd_shards,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
