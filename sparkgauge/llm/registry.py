@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, packing, quality, sharding
+from sparkgauge.llm import chat_format, decontaminate, exact_dedup, packing, quality, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality": quality.op5_quality,
     "op6_pack": packing.op6_pack,
     "op7_kd_shards": sharding.op7_kd_shards,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
