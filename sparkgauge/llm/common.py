@@ -37,6 +37,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few numbers or nulls, made by SQL so that no Python runs on the executors."""
+    fields = [f.split() for f in schema.split(",")]
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in fields) + " WHERE false")
+    value = lambda v: "NULL" if v is None else repr(v) + "D" * isinstance(v, float)
+    told = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {told} AS t({', '.join(n for n, _ in fields)})")
+    return table.select(*[table[n].cast(t) for n, t in fields])
+
+
 @atexit.register
 def clear_tables() -> None:
     """Delete the tables that cut() wrote. Results that still read them can't be evaluated afterwards."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkgauge.llm.common import cut, numbered, table
+from sparkgauge.llm.common import cut, numbered, small_rows, table
 
 #: Bits of a digit, and digits in a key.
 DIGIT, DIGITS = 12, 5
@@ -48,7 +48,7 @@ def kd_leaves(points: DataFrame, dims: list[str], total: int, shards: int) -> Da
         seen = {r["_node"]: (max(dims, key=lambda d: r[d]), r["w"]) for r in spans}  # noqa: B023
         chosen = {n: seen.get(n, (dims[0], 0)) for n in open_nodes}
         rows = [(n, dims.index(d), float(w) * (open_nodes[n][1] // 2) / open_nodes[n][1]) for n, (d, w) in chosen.items()]
-        plan = spark.createDataFrame(rows, "_node int, _dim int, _share double")
+        plan = small_rows(spark, rows, "_node int, _dim int, _share double")
         value = F.element_at(F.array(*dims), F.col("_dim") + 1)
         tail = F.shiftrightunsigned("hash", 64 - DIGIT * (DIGITS - 1))
         keyed = points.join(F.broadcast(plan), "_node").withColumn("_key", F.shiftleft(value, DIGIT * (DIGITS - 1)) + tail)
@@ -57,7 +57,7 @@ def kd_leaves(points: DataFrame, dims: list[str], total: int, shards: int) -> Da
         active = dict(chosen)
         for step in range(DIGITS):
             shift = DIGIT * (DIGITS - 1 - step)
-            state = spark.createDataFrame([(n, cuts[n], float(left[n])) for n in active], "_node int, _from long, _left double")
+            state = small_rows(spark, [(n, cuts[n], float(left[n])) for n in active], "_node int, _from long, _left double")
             inside = keyed.join(F.broadcast(state), "_node")
             if step:
                 inside = inside.filter(F.shiftright("_key", shift + DIGIT) == F.shiftright("_from", shift + DIGIT))
@@ -90,13 +90,13 @@ def kd_leaves(points: DataFrame, dims: list[str], total: int, shards: int) -> Da
             following[made], following[made + 1] = (first, k // 2), (first + k // 2, k - k // 2)
             splits.append((n, dims.index(chosen[n][0]), cuts[n], made, made + 1))
             made += 2
-        tree = spark.createDataFrame(splits, "_node int, _dim int, _cut long, _low int, _high int")
+        tree = small_rows(spark, splits, "_node int, _dim int, _cut long, _low int, _high int")
         at = points.join(F.broadcast(tree), "_node", "left")
         key = F.shiftleft(value, DIGIT * (DIGITS - 1)) + tail
         to = F.when(F.col("_cut").isNull(), F.col("_node")).when(key < F.col("_cut"), F.col("_low")).otherwise(F.col("_high"))
         points = at.withColumn("_node", to).drop("_dim", "_cut", "_low", "_high")
         nodes = following
-    shard = spark.createDataFrame([(n, first) for n, (first, _) in nodes.items()], "_node int, shard int")
+    shard = small_rows(spark, [(n, first) for n, (first, _) in nodes.items()], "_node int, shard int")
     return points.join(F.broadcast(shard), "_node").drop("_node")
 
 
@@ -143,8 +143,9 @@ def kd_shards(
     )
     leaves = kd_leaves(cut(points, "shard-points"), ["size_code", "source", "lang"], total, shards)
     # The pieces of a group are at most shards / PIECE many.
+    # Written first, so that the join's two sides are plain exchanges, whose hot partitions Spark can split.
     homes = leaves.groupBy("_text", "size").agg(F.sort_array(F.collect_list(F.struct("piece", "shard"))).alias("homes"))
-    placed = rows.join(homes, ["_text", "size"])
+    placed = rows.join(cut(homes, "shard-homes"), ["_text", "size"])
     which = F.pmod(F.xxhash64("id", "_at"), F.size("homes").cast("long")).cast("int")
     placed = placed.select("id", "size", "text_crc32", F.get("homes", which).getField("shard").alias("shard"), "_at")
     buckets = max(16, -(-count // (shards * 250_000)))
