@@ -69,8 +69,10 @@ def exact_groups(
         .groupBy(F.col("_full").alias("_key"))
         .agg(F.max(F.struct("_id", "_at")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
     )
+    # The join's key is made anew on both sides, so that each is a plain exchange, whose hot partitions Spark can split.
+    groups = groups.withColumn("_key", F.hex("_key"))
     # A row that dropped out on the way is alone: its key is its own place, which no group has.
-    lone = rows.withColumn("_key", F.coalesce("_full", F.encode(F.col("_at").cast("string"), "UTF-8"))).drop("_text")
+    lone = rows.withColumn("_key", F.coalesce(F.hex("_full"), F.concat(F.lit("@"), F.col("_at")))).drop("_text")
     found = lone.join(groups, "_key", "left")
     return found.select(
         "row",
