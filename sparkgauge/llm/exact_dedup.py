@@ -19,17 +19,20 @@ FILTER_BITS = 24
 _PER_BITMAP = 32768
 
 
-def _occurs_twice(keyed: DataFrame, key: str, bits: int) -> DataFrame:
-    """(part, bitmap): a bit is set if a key that falls on it occurs in two rows or more. At most 2^bits / 32768 rows."""
-    twice = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bit = F.pmod(F.col(key), F.lit(1 << bits))
-    spots = twice.select(bit.alias("bit")).distinct()
+def _occurs_twice(keyed: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The bitmap of the keys that occur in two rows or more."""
+    return _occurs_once(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), key, bits)
+
+
+def _occurs_once(keyed: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(part, bitmap): the bits on which the keys fall. At most 2^bits / 32768 rows."""
+    spots = keyed.select(F.pmod(F.col(key), F.lit(1 << bits)).alias("bit")).distinct()
     return spots.groupBy(F.floor(F.col("bit") / _PER_BITMAP).cast("int").alias("_part")).agg(
         F.bitmap_construct_agg(F.col("bit") % _PER_BITMAP).alias("_bitmap")
     )
 
 
-def _with_flag(rows: DataFrame, key: Column, twice: DataFrame, bits: int, flag: str) -> DataFrame:
+def _with_flag(rows: DataFrame, key: Column, twice: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
     """``rows`` with ``flag``: whether the bit of ``key`` is set. The bitmap has a fixed size, so it is broadcast."""
     bit = F.pmod(key, F.lit(1 << bits))
     spot = bit % _PER_BITMAP
@@ -57,11 +60,11 @@ def exact_groups(
         F.xxhash64(F.octet_length(text)).alias("_length_key"),
     )
     by_length = _occurs_twice(rows.select("_length_key"), "_length_key", bits)
-    rows = _with_flag(rows, F.col("_length_key"), by_length, bits, "_length_twice")
+    rows = _with_flag(rows, F.col("_length_key"), by_length, "_length_twice", bits)
     prefix = F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, prefix_chars))
     rows = rows.withColumn("_prefix_key", F.when(F.col("_length_twice"), prefix))
     by_prefix = _occurs_twice(rows.filter("_prefix_key is not null").select("_prefix_key"), "_prefix_key", bits)
-    rows = _with_flag(rows, F.coalesce("_prefix_key", F.lit(0)), by_prefix, bits, "_prefix_twice")
+    rows = _with_flag(rows, F.coalesce("_prefix_key", F.lit(0)), by_prefix, "_prefix_twice", bits)
     full = F.when(F.col("_length_twice") & F.col("_prefix_twice"), F.unhex(F.sha2(F.encode("_text", "UTF-8"), 256)))
     rows = rows.withColumn("_full", full)
     groups = (

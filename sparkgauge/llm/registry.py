@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, packing, quality, secrets, sharding, url_filter
+from sparkgauge.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, quality, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality": quality.op5_quality,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
