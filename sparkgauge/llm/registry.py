@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, quality, secrets, sharding, url_filter
+from sparkgauge.llm import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_pack": packing.op6_pack,
     "op7_kd_shards": sharding.op7_kd_shards,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_secrets": secrets.op10_secrets,
 }
