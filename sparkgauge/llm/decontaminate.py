@@ -107,17 +107,23 @@ def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (a struct of all its columns), ``n_words``, ``n_hit`` (words inside an
+    """One row per row of ``docs``: ``row`` (a struct of its columns, or of those in ``carry``), ``n_words``, ``n_hit`` (words inside an
     occurrence of a window), ``spans`` (sorted disjoint (start, end) in words), ``items`` (sorted ids, as strings, of the
     items with an occurring window).
 
     Null and empty texts have no words and no hits, and an item without words has no window. An item with a null id marks
     words but isn't listed. Repeated rows are judged each by itself. Further columns are left alone.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
-    texts = rows.select("at", words_of(F.col("row").getField(text_col)).alias("words"))
+    n_words = F.regexp_count(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"),
+        n_words.cast("long").alias("n_words"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    texts = docs.select(F.monotonically_increasing_id().alias("at"), words_of(F.col(text_col)).alias("words"))
     tests = items.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
     found = hits(texts, tests).groupBy("at").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items")
@@ -144,8 +150,7 @@ def decontaminate(
         )
 
     found = found.select(F.col("at").alias("_hit_at"), F.aggregate("hits", zero, grow, finish).alias("spans"), "items")
-    n_words = F.regexp_count(F.translate(F.coalesce(F.col("row").getField(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD))
-    joined = rows.withColumn("n_words", n_words.cast("long")).join(found, F.col("at") == F.col("_hit_at"), "left")
+    joined = rows.join(found, F.col("at") == F.col("_hit_at"), "left")
     n_hit = F.aggregate(F.coalesce("spans", none), F.lit(0), lambda acc, s: acc + s.getField("end") - s.getField("start"))
     return joined.select(
         "row", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
@@ -159,7 +164,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         "n_words",
