@@ -76,8 +76,8 @@ def _signed(h: int) -> int:
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, node, shingles): a row per row of ``docs``. ``node`` is a 64-bit hash of the set, null for an empty one; a
-    task gives the shingles of a node once only."""
+    """(at, id, n, node, shingles): a row per row of ``docs``. ``at`` is the row's place, ``node`` a 64-bit hash of the set,
+    null for an empty one; a task gives the shingles of a node once only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _kept_hashes(), set()
@@ -94,13 +94,13 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     sets.append(None if node is None or node in seen else data)
                     seen.add(node)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
-                    ["id", "n", "node", "shingles"],
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
+                    ["id", "at", "n", "node", "shingles"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n long, node long, shingles binary"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at")).mapInArrow(
+        run, f"id {kind}, at long, n long, node long, shingles binary"
     )
 
 
@@ -287,17 +287,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's id, unless all of the component's are null; repeated rows link with each other. Sets are sets of 64-bit
     hashes, and equal sets are known by a 64-bit hash.
     """
-    shingled = cut(shingle_table(docs, id_col, text_col), "shingles")
+    return _placed(cut(shingle_table(docs, id_col, text_col), "shingles")).drop("at")
+
+
+def _placed(shingled: DataFrame) -> DataFrame:
+    """(id, at, n_shingles, component_id) for each row of the table that shingle_table() made."""
     classes = shingled.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"))
     comps = similar_groups(shingled)
     known = cut(classes.join(comps, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp")), "classes")
     tops = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     homes = cut(known.join(cut(tops, "component-ids"), "comp").select("node", "component_id"), "node-components")
-    empty = shingled.filter("node is null").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    rest = shingled.filter("node is not null").join(homes, "node").select("id", F.col("n").alias("n_shingles"), "component_id")
+    empty = shingled.filter("node is null").select("id", "at", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+    rest = shingled.filter("node is not null").join(homes, "node").select("id", "at", F.col("n").alias("n_shingles"), "component_id")
     return rest.unionByName(empty)
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, the first in the table);
+    rows without shingles all stay, and so does a component without an id. ``docs`` must give its rows in the same order
+    when read again, as a table does."""
+    placed = cut(_placed(cut(shingle_table(docs, id_col, text_col), "shingles")), "components")
+    linked = placed.filter("n_shingles > 0 and component_id is not null")
+    first = linked.groupBy("component_id").agg(F.min(F.when(F.col("id") == F.col("component_id"), F.col("at"))).alias("keep"))
+    stay = linked.join(cut(first.select("component_id", "keep"), "component-heads"), "component_id").filter(F.col("at") != F.col("keep"))
+    gone = cut(stay.select(F.col("at").alias("_gone")), "dropped")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_at"))
+    return rows.join(gone, F.col("_at") == F.col("_gone"), "left_anti").select("row.*")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
