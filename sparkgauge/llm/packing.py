@@ -22,8 +22,8 @@ from sparkgauge.llm.common import cut, numbered, table
 CAPACITY = 2048
 #: The id after each document.
 END_ID = 0
-#: Words whose ids a Python worker remembers; when there are more, it starts anew.
-REMEMBERED_WORDS = 600_000
+#: Parts of texts, and words, whose ids a Python worker remembers; when there are more, it starts anew.
+REMEMBERED_WORDS = 700_000
 
 
 class RoomTree:
@@ -99,36 +99,99 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list
     return rows, opened
 
 
-def _tokenizer(path: str):
-    """The tokenizer and the ids of words met, kept in the worker process from task to task."""
+#: How the word vocabulary splits a normalized text (white space between the parts is dropped).
+WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+class _Words:
+    """A vocabulary whose rules drop white space and never look across it: a text's ids are those of its parts between
+    ASCII white space. The ids of the parts met are remembered, and those of the words in them. A Latin part is split here;
+    what isn't plain (other scripts, uncomposed letters, special tokens) goes to the tokenizer as it is."""
+
+    def __init__(self, tokenizer, bare):
+        import regex
+
+        self.tokenizer, self.bare, self.rule = tokenizer, bare, regex.compile(WORD_RULE)
+        self.parts: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
+        import array
+
+        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, part: str) -> bool:
+        if part.isascii():
+            return "<|" not in part
+        import unicodedata
+
+        return max(part) < "\u0250" and "<|" not in part and not any(map(str.isspace, part)) and unicodedata.is_normalized("NFC", part)
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        told = [w.decode() for w in new]
+        split = [self.rule.findall(w.lower()) if self._plain(w) else None for w in told]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        unknown = list({x for words in split if words for x in words if x not in self.words})
+        own = dict(zip(unknown, self._encoded(self.bare, unknown), strict=True))
+        known = self.words
+        other = iter(self._encoded(self.tokenizer, [w for w, words in zip(told, split, strict=True) if words is None]))
+        out = {}
+        for w, words in zip(new, split, strict=True):
+            out[w] = next(other) if words is None else b"".join([own[x] if x in own else known[x] for x in words])
+        known.update((x, ids) for x, ids in own.items() if len(x) <= 64)
+        return out
+
+    def ids(self, text: bytes) -> bytes:
+        parts = text.split()
+        ids = list(map(self.parts.get, parts))
+        if None in ids:
+            if len(self.parts) > REMEMBERED_WORDS:
+                self.parts.clear()
+            new = self._learn(list({w for w, x in zip(parts, ids, strict=True) if x is None}))
+            self.parts.update((w, x) for w, x in new.items() if len(w) <= 64)
+            ids = [new[w] if x is None else x for w, x in zip(parts, ids, strict=True)]
+        return b"".join(ids)
+
+
+class _Whole:
+    """Any other vocabulary: texts are encoded whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def ids(self, text: bytes) -> bytes:
+        return _Words._encoded(self.tokenizer, [text.decode()])[0]
+
+
+def _encoder(path: str):
+    """ids(text): the ids of a UTF-8 text as little-endian unsigned 32-bit numbers. Kept in the worker process from task to
+    task."""
     kept = sys.modules.setdefault("_sparkgauge_kept", types.ModuleType("_sparkgauge_kept")).__dict__
     if path not in kept:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        kept[path] = (Tokenizer.from_file(path), {})
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        by_words = splits[0].get("pattern") == {"Regex": WORD_RULE} and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+        if by_words and steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2:
+            bare = Tokenizer.from_file(path)
+            bare.normalizer = normalizers.Sequence([])
+            bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            kept[path] = _Words(tokenizer, bare)
+        else:
+            kept[path] = _Whole(tokenizer)
     return kept[path]
 
 
-def _ids_of(text: bytes, tokenizer, known: dict[bytes, bytes]) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers. The vocabulary's rules drop white space and never look
-    across it, so a text's ids are those of its parts between ASCII white space."""
-    parts = text.split()
-    ids = list(map(known.get, parts))
-    if None in ids:
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        new = list({w for w, x in zip(parts, ids, strict=True) if x is None})
-        own = {}
-        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            own[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        known.update((w, x) for w, x in own.items() if len(w) <= 64)
-        ids = [own[w] if x is None else x for w, x in zip(parts, ids, strict=True)]
-    return b"".join(ids)
-
-
 def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and END_ID, in pieces of ``capacity``.
 
@@ -139,13 +202,13 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             out = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "ids")}
             for row in range(len(batch)):
                 text = texts[row].as_py()
-                ids = (_ids_of(text, tokenizer, known) if text else b"") + END_ID.to_bytes(4, "little")
+                ids = (encoder.ids(text) if text else b"") + END_ID.to_bytes(4, "little")
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     for k, v in (("row", row), ("piece", piece), ("start", start), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
