@@ -71,36 +71,61 @@ def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
     return np.unique(s)
 
 
+def bitmap_of(own: np.ndarray) -> np.ndarray:
+    """The set's hashed bitmap: a bit is set if an odd number of shingles fall on it, so that differing bits of two sets
+    never outnumber their differing shingles. Two to four bits a shingle, 128 at least."""
+    bits = 1 << max(7, (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
+def could_be_alike(n, m, differ):
+    """Whether sets of n and m shingles whose bitmaps differ in so many bits can be linked: sizes must be near, and as
+    |a & b| <= (n + m - differ) / 2, alike means (100 + PERCENT) |a & b| >= PERCENT (n + m)."""
+    near = np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)
+    return near & ((100 + PERCENT) * (n + m - differ) >= 2 * PERCENT * (n + m))
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(at, id, n, node, shingles): a row per row of ``docs``. ``at`` is the row's place, ``node`` a 64-bit hash of the set,
-    null for an empty one; a task gives the shingles of a node once only."""
+    """(at, id, n, node, bitmap, shingles): a row per row of ``docs``. ``at`` is the row's place, ``node`` a 64-bit hash of
+    the set, null for an empty one; a task gives the bitmap and shingles of a node once only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _kept_hashes(), set()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                sizes, nodes, sets = [], [], []
+                sizes, nodes, maps, sets = [], [], [], []
                 for text in batch.column(1).cast(pa.binary()):
                     own = shingle_set(text.as_py(), hashes)
                     data = own.tobytes()
                     node = _signed(xxhash.xxh3_64_intdigest(data)) if len(own) else None
                     sizes.append(len(own))
                     nodes.append(node)
-                    sets.append(None if node is None or node in seen else data)
+                    known = node is None or node in seen
+                    maps.append(None if known else bitmap_of(own).tobytes())
+                    sets.append(None if known else data)
                     seen.add(node)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
-                    ["id", "at", "n", "node", "shingles"],
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(sets, pa.binary())],
+                    ["id", "at", "n", "node", "bitmap", "shingles"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at")).mapInArrow(
-        run, f"id {kind}, at long, n long, node long, shingles binary"
+        run, f"id {kind}, at long, n long, node long, bitmap binary, shingles binary"
     )
 
 
@@ -180,95 +205,145 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``sets`` for ``nodes`` (node), once each. A bitmap of fixed size stops most others where they are read,
     so that only the sets in question are shuffled."""
-    marked = _with_flag(sets, F.xxhash64("node"), _occurs_once(nodes.select(F.xxhash64("node").alias("k")), "k"), "_asked")
+    marked = _with_flag(sets.select("node", "shingles"), F.xxhash64("node"), _occurs_once(nodes.select(F.xxhash64("node").alias("k")), "k"), "_asked")
     return marked.filter("_asked").select("node", "shingles").dropDuplicates(["node"])
 
 
-def _bits_of(band: int) -> int:
-    """Width of the bitmaps in a band: twice its largest size, 128 at least."""
-    return 1 << max(7, math.ceil(math.log2(2 * BAND ** (band + 1))))
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and bitmaps allow a link. ``nodes``: (node, n, bitmap)."""
+    for end in "ab":
+        own = nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bitmap").alias(f"map_{end}"))
+        pairs = pairs.join(own, end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.zeros(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                words = min(len(x), len(y))
+                differ[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64)
+            good = could_be_alike(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    near = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * PERCENT)
+    return pairs.filter(near).select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long")
+
+
+def _checked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs``: bitmaps first, then the sets of those that are left."""
+    left = cut(_possible(pairs, nodes), "possible-pairs")
+    return _verified(left, cut(_sets_of(sets, left.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "pair-sets"))
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, shingles) that
-    differ in ``comp``, could be alike by size, and whose bitmaps allow the overlap."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        band, low, high = (k.as_py() for k in key[1:4])
-        node, n, comp, chunk = (rows.column(c).to_numpy() for c in ("node", "n", "comp", "chunk"))
-        home = rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        bits = _bits_of(band)
-        maps = np.zeros((len(node), bits // 64), np.uint64)
-        for i, x in enumerate(rows.column("shingles")):
-            spot = np.frombuffer(x.as_py(), np.uint64) & np.uint64(bits - 1)
-            # a bit is set if an odd number of shingles fall on it: differing bits never outnumber differing shingles
-            odd = np.bincount(spot.astype(np.int64), minlength=bits).astype(np.uint8) & 1
-            maps[i] = np.packbits(odd, bitorder="little").view(np.uint64)
+    """The pairs (a, b), a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, bitmap) that
+    differ in ``comp``, could be alike by size, and whose bitmaps allow the overlap. Tiles come one after the other in the
+    sorted rows of a partition; one of them is held at a time."""
+    tile = ["key", "band", "low", "high"]
+
+    def pairs_in(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        node, n, comp, chunk, home, low, high = (rows.column(c).to_numpy() for c in ("node", "n", "comp", "chunk", "home", "low", "high"))
+        maps = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("bitmap")]
+        words = min(map(len, maps))
+        maps = np.stack([folded(x, words) for x in maps])
         a_out, b_out = [], []
-        for i in np.flatnonzero(chunk == low):
-            other = (chunk == high) & (comp != comp[i]) & (home | home[i])
-            other &= np.minimum(n, n[i]) * 100 >= PERCENT * np.maximum(n, n[i])
-            if low == high:
-                other[: i + 1] = False
+        place = np.arange(len(node))
+        for i in np.flatnonzero(chunk == low[0]):
+            other = (chunk == high[0]) & (comp != comp[i]) & ((home | home[i]) > 0)
+            if low[0] == high[0]:
+                other &= place > i
             j = np.flatnonzero(other)
-            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-            # |a & b| <= (|a| + |b| - differ) / 2, and alike means (100 + PERCENT) |a & b| >= PERCENT (|a| + |b|)
-            j = j[(100 + PERCENT) * (n[j] + n[i] - differ) >= 2 * PERCENT * (n[j] + n[i])]
-            a_out.append(np.minimum(node[j], node[i]))
-            b_out.append(np.maximum(node[j], node[i]))
-        joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out)]
-        return pa.table({"a": pa.array(joined[0], pa.int64()), "b": pa.array(joined[1], pa.int64())})
+            if len(j):
+                differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+                j = j[could_be_alike(n[j].astype(np.int64), np.int64(n[i]), differ)]
+                a_out.append(np.minimum(node[j], node[i]))
+                b_out.append(np.maximum(node[j], node[i]))
+        return a_out, b_out
 
-    return tiles.groupBy("key", "band", "low", "high").applyInArrow(run, "a long, b long")
-
-
-def _residual_links(groups: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links between nodes that share a key of ``groups`` (key, node, n) but not a component of ``comps`` (node, comp)."""
-    with_comp = cut(groups.select("key", "node", "n").join(comps, "node"), "group-comps")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            new = [] if batch is None else [pa.Table.from_batches([batch])]
+            old = [] if held is None else [held]
+            if not new + old:
+                return
+            rows = pa.concat_tables(old + new).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in tile])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(rows)]
+            done = len(starts) - 1 if batch is None else len(starts) - 2  # the last tile may go on in the next batch
+            a_out, b_out = [], []
+            for start, end in zip(starts[:done], starts[1 : done + 1], strict=True):
+                if end - start > 1:
+                    a, b = pairs_in(rows.slice(start, end - start))
+                    a_out += a
+                    b_out += b
+            held = rows.slice(starts[done])
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a_out, b_out)], ["a", "b"])
+
+    dealt = tiles.repartition(*tile).sortWithinPartitions(*tile)
+    return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(run, "a long, b long")
+
+
+def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Pairs of nodes that share a key of ``groups`` (key, node, n) but not a component of ``comps`` (node, comp), and that
+    bitmaps don't rule out."""
+    with_comp = cut(groups.join(comps, "node"), "group-comps")
     open_keys = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = cut(with_comp.join(cut(open_keys, "open-keys"), "key"), "open-groups")
     if not rows.limit(1).count():
         return None
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9).cast("int")
     homed = rows.withColumn("band", band)
-    banded = homed.withColumn("home", F.lit(True)).unionByName(homed.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False)))
+    banded = homed.withColumn("home", F.lit(1)).unionByName(homed.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(0)))
     spans = banded.groupBy("key", "band").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("home").alias("any_home"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        F.count(F.lit(1)).alias("rows"), F.max("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    spans = spans.filter("any_home and lo < hi").select("key", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("chunks"))
+    spans = spans.filter("homes = 1 and lo < hi").select("key", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("chunks"))
     dealt = banded.join(cut(spans, "spans"), ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    own = cut(_sets_of(sets, rows.select("node").distinct()), "open-sets")
-    tiles = tiled.join(own, "node").select("key", "band", "low", "high", "node", "n", "comp", "chunk", "home", "shingles")
-    pairs = cut(_tile_pairs(tiles).distinct(), "tile-pairs")
-    return _verified(pairs, own)
+    return _tile_pairs(tiled.join(nodes.select("node", "bitmap"), "node")).distinct()
+
+
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """(key, node, n) of the keys that two nodes share or more; of keys with the same nodes, one."""
+    order = W.partitionBy("key").orderBy("node")
+    near = prefixes.select("key", "node", "n", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
+    shared = cut(near.filter("before is not null or after is not null").select("key", "node", "n"), "shared-keys")
+    # Two sums of hashes say which nodes a key has.
+    told = [F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    alike = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told)
+    kept = cut(alike.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "kept-keys")
+    return cut(shared.join(kept, "key"), "groups")
 
 
 def similar_groups(shingled: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of ``shingled`` (a table that shingle_table() made) that are linked with another one."""
+    """(node, comp) for the nodes of ``shingled`` (a table that shingle_table() made) that share a key with another one."""
     spark = shingled.sparkSession
     sets = shingled.filter("shingles is not null")
     sketch = spark.sparkContext.broadcast(_sketch(sets))
-    prefixes = _prefixes(sets, sketch).distinct()
-    order = W.partitionBy("key").orderBy("node")
-    near = prefixes.select(
-        "key", "node", "n", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after")
-    )
-    groups = cut(near.filter("before is not null or after is not null").select("key", "node", "n"), "groups")
-    ends = groups.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    hubs = groups.join(cut(ends, "hubs"), "key").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    hubs = cut(hubs, "node-hubs")
+    groups = _groups(_prefixes(sets, sketch).distinct())
+    shared = cut(groups.select("node").distinct(), "shared-nodes")
+    nodes = cut(sets.select("node", "n", "bitmap").join(shared, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    ends = cut(groups.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "key-hubs")
+    hubs = groups.join(ends, "key").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = hubs.select(F.explode(F.array("low", "high")).alias("hub"), "node").filter("hub <> node")
     pairs = cut(pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "hub-pairs")
-    links = cut(_verified(pairs, _sets_of(sets, hubs.select("node"))), "hub-links")
-    roots = components(links)
-    comps = hubs.select("node").join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("comp"))
+    roots = components(cut(_checked(pairs, nodes, sets), "hub-links"))
+    comps = shared.join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("comp"))
     comps = cut(comps, "comps")
-    more = _residual_links(groups, comps, sets)
+    more = _residual_pairs(groups, comps, nodes)
     if more is None:
         return comps
-    more = cut(more, "more-links")
+    more = cut(more, "tile-pairs")
+    asked = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = cut(_verified(more, cut(_sets_of(sets, asked), "pair-sets")), "more-links")
     if not more.limit(1).count():
         return comps
     ends = more.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
