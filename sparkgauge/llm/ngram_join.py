@@ -7,7 +7,9 @@ those prefixes are shuffled by shingle, and shingles that only one node has fall
 First every node is compared with two hubs of its groups, which joins groups of copies in linear work. What is left are
 pairs of nodes in one group but in different components so far: the groups are cut into tiles by size band, and in a tile
 the nodes' hashed bitmaps are compared; bits that differ bound the overlap from above. Pairs that pass are settled by
-intersecting the sorted shingle arrays. No pair within a component needs to be looked at, and no other is skipped.
+intersecting the sorted shingle arrays. In the first turns a tile gives only as many pairs as span what could be linked, so
+that large groups of copies become components in linear work; a last turn gives every pair that is still between two
+components. No pair within a component needs to be looked at, and no other is skipped.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SKETCH_BITS = 20
 SKETCH_LEAST, SKETCH_TIMES = 8, 4
 #: Rows in a tile, and the ratio of sizes in a band: nodes that are alike are in the same band or in neighbouring ones.
 TILE, BAND = 1024, 100 / PERCENT
+#: Turns in which a tile gives a forest of its pairs, before it gives all that are then left.
+FOREST_TURNS = 2
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 600_000
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHINGLE + 1)]
@@ -73,8 +77,8 @@ def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
 
 def bitmap_of(own: np.ndarray) -> np.ndarray:
     """The set's hashed bitmap: a bit is set if an odd number of shingles fall on it, so that differing bits of two sets
-    never outnumber their differing shingles. Two to four bits a shingle, 128 at least."""
-    bits = 1 << max(7, (2 * len(own) - 1).bit_length())
+    never outnumber their differing shingles. Four to eight bits a shingle, 128 at least."""
+    bits = 1 << max(7, (4 * len(own) - 1).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
@@ -240,10 +244,11 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, bitmap) that
-    differ in ``comp``, could be alike by size, and whose bitmaps allow the overlap. Tiles come one after the other in the
-    sorted rows of a partition; one of them is held at a time."""
+def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, bitmap) that differ
+    in ``comp``, could be alike by size, and whose bitmaps allow the overlap: with a ``turn`` a forest of them, which spans
+    what they join and has fewer pairs than the tile has rows (turns differ in which pairs they take), without one all.
+    Tiles come one after the other in the sorted rows of a partition; one of them is held at a time."""
     tile = ["key", "band", "low", "high"]
 
     def pairs_in(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -252,15 +257,23 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
         words = min(map(len, maps))
         maps = np.stack([folded(x, words) for x in maps])
         a_out, b_out = [], []
-        place = np.arange(len(node))
-        for i in np.flatnonzero(chunk == low[0]):
-            other = (chunk == high[0]) & (comp != comp[i]) & ((home | home[i]) > 0)
-            if low[0] == high[0]:
+        place, root = np.arange(len(node)), comp.copy()
+        rows_of = np.flatnonzero(chunk == low[0])
+        for i in rows_of[::-1] if turn and turn % 2 else rows_of:
+            other = (chunk == high[0]) & (root != root[i]) & ((home | home[i]) > 0)
+            if low[0] == high[0] and turn is None:
                 other &= place > i
             j = np.flatnonzero(other)
             if len(j):
                 differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
                 j = j[could_be_alike(n[j].astype(np.int64), np.int64(n[i]), differ)]
+                if turn is not None:
+                    taken = []
+                    while len(j):
+                        taken.append(j[-1 if turn % 2 else 0])
+                        root[root == root[taken[-1]]] = root[i]
+                        j = j[root[j] != root[i]]
+                    j = np.array(taken, np.int64)
                 a_out.append(np.minimum(node[j], node[i]))
                 b_out.append(np.maximum(node[j], node[i]))
         return a_out, b_out
@@ -290,9 +303,9 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
     return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(run, "a long, b long")
 
 
-def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame, turn: int | None) -> DataFrame | None:
     """Pairs of nodes that share a key of ``groups`` (key, node, n) but not a component of ``comps`` (node, comp), and that
-    bitmaps don't rule out."""
+    bitmaps don't rule out: all of them, or in a ``turn`` a forest in each tile."""
     with_comp = cut(groups.join(comps, "node"), "group-comps")
     open_keys = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = cut(with_comp.join(cut(open_keys, "open-keys"), "key"), "open-groups")
@@ -308,7 +321,7 @@ def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> Da
     dealt = banded.join(cut(spans, "spans"), ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    return _tile_pairs(tiled.join(nodes.select("node", "bitmap"), "node")).distinct()
+    return _tile_pairs(tiled.join(nodes.select("node", "bitmap"), "node"), turn).distinct()
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
@@ -338,19 +351,25 @@ def similar_groups(shingled: DataFrame) -> DataFrame:
     roots = components(cut(_checked(pairs, nodes, sets), "hub-links"))
     comps = shared.join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("comp"))
     comps = cut(comps, "comps")
-    more = _residual_pairs(groups, comps, nodes)
-    if more is None:
-        return comps
-    more = cut(more, "tile-pairs")
-    asked = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = cut(_verified(more, cut(_sets_of(sets, asked), "pair-sets")), "more-links")
-    if not more.limit(1).count():
-        return comps
-    ends = more.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
+    for turn in (*range(FOREST_TURNS), None):
+        more = _residual_pairs(groups, comps, nodes, turn)
+        if more is None:
+            break
+        more = cut(more, "tile-pairs")
+        asked = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        more = cut(_verified(more, cut(_sets_of(sets, asked), "pair-sets")), "more-links")
+        if more.limit(1).count():
+            comps = cut(_joined(comps, more), "comps")
+    return comps
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the components that ``links`` (a, b) connect have become one."""
+    ends = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
     ends = ends.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    tops = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    tops = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b"))
     joined = comps.join(tops, F.col("comp") == F.col("v"), "left")
-    return cut(joined.select("node", F.coalesce("root", "comp").alias("comp")), "comps")
+    return joined.select("node", F.coalesce("root", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
