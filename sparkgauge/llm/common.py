@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +16,31 @@ _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Rows in an Arrow batch at most: texts are long, and a batch is held more than once on its way.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold BATCH_ROWS rows at most, from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task, for one operator at a time."""
+    kept = sys.modules.setdefault("_sparkgauge_kept", types.ModuleType("_sparkgauge_kept")).__dict__
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept["owner"] = owner
+    return kept
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that isn't set (a single machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -31,6 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later steps start from the files, not from its plan."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/sparkgauge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))

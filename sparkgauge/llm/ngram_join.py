@@ -15,8 +15,6 @@ components. No pair within a component needs to be looked at, and no other is sk
 from __future__ import annotations
 
 import math
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkgauge.llm.common import cut, table
+from sparkgauge.llm.common import cut, table, worker_cache
 from sparkgauge.llm.exact_dedup import _occurs_once, _with_flag
 from sparkgauge.llm.graph import components
 
@@ -54,7 +52,7 @@ class _Hashes(dict):
 
 
 def _kept_hashes() -> dict:
-    kept = sys.modules.setdefault("_sparkgauge_kept", types.ModuleType("_sparkgauge_kept")).__dict__
+    kept = worker_cache("ngram_join")
     return kept.setdefault("word_hashes", _Hashes())
 
 

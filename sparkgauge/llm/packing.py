@@ -8,8 +8,6 @@ plan it makes (some thousand ranges at most, for any number of documents) is joi
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -17,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import cut, numbered, table
+from sparkgauge.llm.common import cut, numbered, table, worker_cache
 
 CAPACITY = 2048
 #: The id after each document.
 END_ID = 0
 #: Parts of texts, and words, whose ids a Python worker remembers; when there are more, it starts anew.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 500_000
 
 
 class RoomTree:
@@ -168,7 +166,7 @@ class _Whole:
 def _encoder(path: str):
     """ids(text): the ids of a UTF-8 text as little-endian unsigned 32-bit numbers. Kept in the worker process from task to
     task."""
-    kept = sys.modules.setdefault("_sparkgauge_kept", types.ModuleType("_sparkgauge_kept")).__dict__
+    kept = worker_cache("packing")
     if path not in kept:
         import json
         import os

@@ -8,17 +8,14 @@ a known digest, a UUID, a number or an identifier, or lies in a span that a patt
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import table
+from sparkgauge.llm.common import table, worker_cache
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -90,7 +87,7 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def _encoding(path: str, pattern: str):
     """The tiktoken encoding, kept in the worker process from task to task."""
-    kept = sys.modules.setdefault("_sparkgauge_kept", types.ModuleType("_sparkgauge_kept")).__dict__
+    kept = worker_cache("secrets")
     if path not in kept:
         import tiktoken
 
