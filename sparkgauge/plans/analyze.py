@@ -95,14 +95,17 @@ def analyze(
                 failed[key(check)] = f'no implementation for measure "{measure["type"]}"'
                 continue
             try:
-                columns[f"m{len(columns)}"] = MEASURES[measure["type"]](measure.get("params") or {}, criteria)
-                outcomes[key(check)] = f"m{len(columns) - 1}"
+                made = MEASURES[measure["type"]](measure.get("params") or {}, criteria)
+                outcomes[key(check)] = name = f"m{len(outcomes)}"
+                # Columns of their own: a struct's fields would be worked out anew wherever they are named.
+                columns |= {f"{name}_{part}": made[part] for part in ("num", "bool", "evidence") if evidence or part != "evidence"}
             except UnknownSet as e:
                 failed[key(check)] = str(e)
     df = df.withColumns(columns) if columns else df
 
-    def outcome(check: dict) -> Column | None:
-        return F.col(outcomes[key(check)]) if key(check) in outcomes else None
+    def outcome(check: dict) -> dict[str, Column] | None:
+        parts = ("num", "bool", "evidence") if evidence else ("num", "bool")
+        return {part: F.col(f"{outcomes[key(check)]}_{part}") for part in parts} if key(check) in outcomes else None
 
     def finding(check: dict) -> Column:
         return F.try_element_at(F.filter("ai_findings", lambda f: f["check_id"] == check["id"]), F.lit(-1))

@@ -14,7 +14,7 @@ from sparkgauge.operators import measures as M
 from sparkgauge.operators.findings import missing, requested
 from sparkgauge.operators.scoring import mechanical_score
 from sparkgauge.plans.analyze import analyze
-from sparkgauge.plans.criteria import load_criteria, pending_ai_checks, resolve
+from sparkgauge.plans.criteria import checks_for, load_criteria, pending_ai_checks, resolution_order, resolve
 from sparkgauge.plans.default_criteria import WORDS
 from sparkgauge.sources import report_json, report_text
 
@@ -42,9 +42,9 @@ def _measure(docs: DataFrame, check_id: str, kind: str = "scoped") -> DataFrame:
     criteria = load_criteria()
     check = resolve(next(c for c in criteria["checks"] if c["id"] == check_id), kind)
     outcome = M.MEASURES[check["measure"]["type"]](check["measure"].get("params") or {}, criteria)
-    got = M.prepare(docs, "content").select("doc_id", outcome.alias("m"))
-    score = mechanical_score(check["scoring"], F.col("m.num"), F.col("m.bool"))
-    return got.select("doc_id", F.coalesce(F.col("m.num"), F.col("m.bool").cast("double")).alias("value"), score.alias("score"))
+    got = M.prepare(docs, "content").select("doc_id", outcome["num"].alias("num"), outcome["bool"].alias("bool"))
+    score = mechanical_score(check["scoring"], F.col("num"), F.col("bool"))
+    return got.select("doc_id", F.coalesce(F.col("num"), F.col("bool").cast("double")).alias("value"), score.alias("score"))
 
 
 def token_bands(spark, sf_dir):
@@ -325,3 +325,89 @@ ORACLES = {
         UNION ALL SELECT CAST(doc_id AS VARCHAR), 'completeness.scope-statement', toxic * 50.0::DOUBLE FROM labels""",
     "findings_missing": f"SELECT CAST(doc_id AS VARCHAR) AS path, c AS check_id FROM labels, (SELECT unnest({_AI}) AS c) WHERE c NOT IN ('clarity.contradictions', 'completeness.scope-statement')",
 }
+
+
+# Whole reports on the Markdown view: the scores of its checks, then requirements, axes, presets and the cap.
+
+_BARE = r"r AS (SELECT doc_id, regexp_replace(t, '```\n[^`]*```', chr(10), 'g') AS t FROM b)"
+_VIEW_PROSE = f"{_VIEW}, {_BODY}, {_BARE}, {_PROSE.replace('FROM d', 'FROM r')}"
+_INJECTION = " + ".join(
+    f"len(regexp_extract_all(t, '(?i){p}'))"
+    for p in (r"(ignore|disregard|forget)\s+(all\s+)?(previous|prior|above)\s+(instructions|rules)", r"you are now\s+(a|an|in)\b", r"system\s*prompt[^.\n]{0,20}(reveal|print|show|output|leak)")
+)
+_CHECK_SQL = {
+    "cost.file-length": _scored(f"{_VIEW}, {_TOKENS}", "v", _banded("v", *_BANDS)),
+    "cost.redundancy": ORACLES["duplicate_lines"].replace(_PLAIN, _VIEW),
+    "cost.output-constraint": _marker(_VIEW, "outputConstraintMarkers", 0),
+    "cost.no-inline-bulk": ORACLES["inline_bulk"],
+    "clarity.written-in-english": _scored(_ENGLISH.replace(f"{_PLAIN}, {_PROSE}", _VIEW_PROSE), "v", "CAST(v * 100 AS DOUBLE)"),
+    "clarity.filler-words": ORACLES["filler_words"].replace(f"{_PLAIN}, {_PROSE}", _VIEW_PROSE),
+    "clarity.one-rule-per-bullet": _field("1", 0),  # no bullet of the view is that long
+    "structure.frontmatter-valid": ORACLES["frontmatter_valid"],
+    "structure.applyto-present": ORACLES["apply_to_present"],
+    "structure.applyto-valid": ORACLES["apply_to_valid"],
+    "structure.applyto-scoped": ORACLES["apply_to_scoped"],
+    "structure.headings": ORACLES["headings"],
+    "structure.lists-over-prose": ORACLES["long_paragraphs"],
+    "completeness.examples": ORACLES["examples_present"],
+    "completeness.dos-and-donts": _marker(_VIEW, "negativeRuleMarkers", 40),
+    "security.secrets": ORACLES["secrets"],
+    "security.internal-hosts": ORACLES["internal_hosts"],
+    "security.pii": _hits(_VIEW, _PII, 40),
+    "security.injection-patterns": _hits(_VIEW, _INJECTION, 50),
+}
+
+
+def _rows(values) -> str:
+    return ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in values)
+
+
+def _report_sql(last: str, preset: str = "balanced") -> str:
+    criteria = load_criteria()
+    places = _rows((c["id"], c["axis"], c["weight"], c["fix"].replace("'", "''"), i) for i, c in enumerate(_ordered(criteria)))
+    requires = _rows((c["id"], r) for c in criteria["checks"] for r in c.get("requires", []))
+    weights = _rows((a["id"], float(criteria["presets"][preset]["weights"][a["id"]])) for a in criteria["axes"])
+    raw = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS check_id, score FROM ({sql})" for k, sql in _CHECK_SQL.items())
+    return f"""WITH RECURSIVE checks(check_id, axis, weight, fix, place) AS (VALUES {places}), needs(check_id, needed) AS (VALUES {requires}),
+weights(axis, weight) AS (VALUES {weights}), raw AS MATERIALIZED ({raw}),
+every AS (SELECT d.doc_id, c.check_id, r.score FROM documents d CROSS JOIN checks c LEFT JOIN raw r ON r.doc_id = d.doc_id AND r.check_id = c.check_id),
+failed AS (
+  SELECT e.doc_id, n.check_id FROM every e JOIN needs n ON n.needed = e.check_id WHERE e.score IS NULL OR e.score < 100
+  UNION SELECT f.doc_id, n.check_id FROM failed f JOIN needs n ON n.needed = f.check_id
+), scores AS (
+  SELECT e.doc_id, e.check_id, e.score IS NOT NULL AND f.check_id IS NULL AS applicable, CASE WHEN f.check_id IS NULL THEN e.score END AS score
+  FROM every e LEFT JOIN failed f USING (doc_id, check_id)
+), axes AS (
+  SELECT s.doc_id, c.axis, coalesce(CAST(floor(sum(c.weight * s.score) / sum(c.weight) FILTER (s.applicable) + 0.5) AS INT), 0) AS score,
+    CAST(count(s.score) AS INT) AS check_count, CAST(count(*) AS INT) AS total_checks
+  FROM scores s JOIN checks c USING (check_id) GROUP BY s.doc_id, c.axis
+), overall AS (
+  SELECT a.doc_id, CAST(floor(coalesce(sum(a.score * w.weight) FILTER (a.check_count > 0) / sum(w.weight) FILTER (a.check_count > 0), 0) + 0.5) AS INT) AS whole
+  FROM axes a JOIN weights w USING (axis) GROUP BY a.doc_id
+), final AS (
+  SELECT o.doc_id, o.whole > 40 AND b.doc_id IS NOT NULL AS capped, CASE WHEN o.whole > 40 AND b.doc_id IS NOT NULL THEN 40 ELSE o.whole END AS overall_score, o.whole
+  FROM overall o LEFT JOIN (SELECT DISTINCT doc_id FROM scores WHERE check_id IN ('security.secrets', 'security.internal-hosts') AND score < 100) b USING (doc_id)
+) {last}"""
+
+
+def _ordered(criteria: dict) -> list[dict]:
+    return resolution_order(checks_for(criteria, "scoped"))[0]
+
+
+_GRADE = "CASE WHEN {0} >= 85 THEN 'strong' WHEN {0} >= 70 THEN 'solid' WHEN {0} >= 50 THEN 'shaky' ELSE 'critical' END"
+_COLOR = "CASE WHEN {0} >= 70 THEN 'green' WHEN {0} >= 50 THEN 'amber' ELSE 'red' END"
+_CAPPED = "SELECT doc_id, overall_score, CASE WHEN capped THEN whole END AS capped_from"
+
+ORACLES |= {
+    "reports": _report_sql(f"{_CAPPED}, {_GRADE.format('overall_score')} AS grade, {_COLOR.format('overall_score')} AS color FROM final"),
+    "reports_security_preset": _report_sql(f"{_CAPPED} FROM final", "security"),
+    "axis_scores": _report_sql(f"SELECT doc_id, axis, score, check_count, total_checks, {_COLOR.format('score')} AS color FROM axes"),
+    "check_scores": _report_sql("SELECT doc_id, check_id, applicable, score FROM scores"),
+    "top_fixes": _report_sql(
+        "SELECT doc_id, CAST(n - 1 AS INT) AS place, check_id, impact FROM (SELECT s.doc_id, s.check_id, CAST(c.weight * (100 - s.score) AS DOUBLE) AS impact, "
+        "row_number() OVER (PARTITION BY s.doc_id ORDER BY c.weight * (100 - s.score) DESC, c.place) AS n FROM scores s JOIN checks c USING (check_id) WHERE s.score < 100) WHERE n <= 3"
+    ),
+    "grades_by_source": _report_sql(
+        f"SELECT source, {_GRADE.format('overall_score')} AS grade, count(*) AS documents, CAST(sum(overall_score) AS BIGINT) AS points FROM final JOIN documents USING (doc_id) GROUP BY ALL"
+    ),
+}
