@@ -5,10 +5,10 @@ each bigram kept, carrying its interpolated probability, and a failure arc to th
 the kept arcs leave. A document is one walk from left to right: take the arc if there is one, else fail and take the word's
 arc from the empty context.
 
-Words are counted in full. Those that make up WORD_SHARE of the training tokens or more, at most 1 / WORD_SHARE many, have
-states; bigrams between them are counted in full too, and those that make up PAIR_SHARE or more, at most 1 / PAIR_SHARE,
-have arcs. So the automaton has a proven bound at any size of the corpus and is broadcast. The arcs of all other words,
-whose table grows with the corpus, are joined by word and added to the walk.
+Words and bigrams are counted in full, into tables that grow with the corpus. Words that make up WORD_SHARE of the training
+tokens or more have states in a broadcast automaton, and bigrams between them that make up PAIR_SHARE or more have arcs
+there; so it has a proven bound. That is only the fast part: the failure weights and arcs of all other words and bigrams are
+joined by word and by (before, word) and added to the walk, so the two shares don't touch a score.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from sparkgauge.llm.common import cut, table
 
 WORD_SHARE, PAIR_SHARE, DISCOUNT = 1e-5, 1e-6, 0.75
-#: The token that ends a document; no word holds a space.
-END = b" "
-#: Counts that a task holds before it passes them on.
-HELD_COUNTS = 1_000_000
+#: The token that ends a document, and what is before its first word; no word holds a space or is empty.
+END, START = b" ", b""
+#: Counts of words and of bigrams that a task holds before it passes them on, and rows that it passes on at once.
+HELD_COUNTS, HELD_PAIRS, HELD_ROWS = 1_000_000, 300_000, 100_000
 
 
 class _Numbers(dict):
@@ -71,29 +71,29 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, times long").groupBy("word").agg(F.sum("times").alias("total"))
 
 
-def pair_counts(training: DataFrame, numbers) -> DataFrame:
-    """(pair, total) of the bigrams between numbered words; pair is before * (size + 1) + after, before the first ``size``."""
+def pair_counts(training: DataFrame) -> DataFrame:
+    """(before, word, total) of all bigrams of ``training`` (text); START is before the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(numbers.value)
-        size, held, have = len(number), [], 0
+        counts: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            pairs, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(times, pa.int64())], ["pair", "times"])
+            before, words = zip(*counts, strict=True)
+            columns = [pa.array(before, pa.binary()), pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["before", "word", "times"])
 
         for batch in batches:
             for x in batch.column(0).cast(pa.binary()):
-                steps = steps_of(tokens_of(x.as_py()), number, size)[1]
-                held.append(steps[steps >= 0])
-                have += len(held[-1])
-                if have >= 8 * HELD_COUNTS:
+                tokens = tokens_of(x.as_py())
+                counts.update(zip([START, *tokens[:-1]], tokens, strict=True))
+                if len(counts) >= HELD_PAIRS:
                     yield told()
-                    held, have = [], 0
-        if have:
+                    counts.clear()
+        if counts:
             yield told()
 
-    return training.select("text").mapInArrow(run, "pair long, times long").groupBy("pair").agg(F.sum("times").alias("total"))
+    found = training.select("text").mapInArrow(run, "before binary, word binary, times long")
+    return found.groupBy("before", "word").agg(F.sum("times").alias("total"))
 
 
 def steps_of(tokens: list[bytes], number: _Numbers, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,25 +103,27 @@ def steps_of(tokens: list[bytes], number: _Numbers, size: int) -> tuple[np.ndarr
     return ids, np.where((ids >= 0) & (before >= 0), before * (size + 1) + ids, -1)
 
 
-def automaton(counts: np.ndarray, documents: int, pairs: np.ndarray, totals: np.ndarray, n: int, v: int) -> dict[str, np.ndarray]:
+def automaton(counts: np.ndarray, documents: int, pairs: np.ndarray, totals: np.ndarray, n: int, v: int, kinds: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The weights (log10): ``alone`` of the empty context's arcs by word, ``arc`` of the sorted ``pairs``, ``fail`` of the
     states' failure arcs. ``counts`` of the numbered words; every word's count is also how often it is a context, and the
-    start is one ``documents`` times."""
+    start is one ``documents`` times. ``kinds`` says how many different words follow each state and the start; without it
+    ``pairs`` are all bigrams that there are."""
     size = len(counts)
     p_alone = (counts + 1) / (n + v + 1)
     uses = np.concatenate((counts, [documents])).astype(float)
     before, after = pairs // (size + 1), pairs % (size + 1)
     own = (totals - DISCOUNT) / np.maximum(uses[before], 1)
-    left = 1 - np.bincount(before, own, size + 1)
+    left = 1 - np.bincount(before, own, size + 1) if kinds is None else np.where(uses > 0, DISCOUNT * kinds / np.maximum(uses, 1), 1.0)
     arc = np.log10(own + left[before] * p_alone[after])
     return {"pairs": pairs, "arc": arc, "fail": np.log10(np.maximum(left, 1e-300)), "alone": np.log10(p_alone)}
 
 
-def walk(ids: np.ndarray, steps: np.ndarray, model: dict[str, np.ndarray]) -> tuple[float, float]:
-    """(probability of the walk, of the empty context alone), both log10 and without the words that have no state.
+def walk(ids: np.ndarray, steps: np.ndarray, model: dict[str, np.ndarray]) -> tuple[float, float, np.ndarray]:
+    """(probability of the walk, of the empty context alone), both log10 and without the words that have no state; and
+    which steps took an arc.
 
-    The state is the word before, so the states of a walk are known beforehand and its steps are taken as one vector. After
-    a word without a state the walk is in the empty context, whose failure arc is free.
+    The state is the word before, so the states of a walk are known beforehand and its steps are taken as one vector. The
+    failure arc after a word without a state is left out, like that word's own arc.
     """
     size = len(model["alone"])
     known = ids >= 0
@@ -134,52 +136,83 @@ def walk(ids: np.ndarray, steps: np.ndarray, model: dict[str, np.ndarray]) -> tu
         seen = pairs[at] == steps
         weights = np.where(seen, model["arc"][at], fail + alone)
     else:
-        weights = fail + alone
-    return math.fsum(weights.tolist()), math.fsum(alone.tolist())
+        seen, weights = np.zeros(len(ids), bool), fail + alone
+    return math.fsum(weights.tolist()), math.fsum(alone.tolist()), seen
 
 
 def walked(docs: DataFrame, numbers, model) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, held_out) a row with its walk, and one for each distinct word of it that has
-    no state (``word``, ``times``); ``row`` says which belong together."""
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "walk", "alone", "word", "times"]
+    """For each row of ``docs`` (doc_id, text, held_out) a row with its walk, one for each distinct word of it that has no
+    state (``word``, ``times``), and one for each step that took no arc (``before``, ``word``); ``row`` says which belong
+    together."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, weights = _Numbers(numbers.value), model.value
         size, row = len(number), TaskContext.get().partitionId() << 36
         for whole in batches:
+            types = {"row": pa.int64(), "doc_id": whole.column(0).type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
+            types |= {"walk": pa.float64(), "alone": pa.float64(), "before": pa.binary(), "word": pa.binary(), "times": pa.int64()}
+
+            def told(n: int, types=types, **columns) -> pa.RecordBatch:
+                made = [pa.nulls(n, t) if name not in columns else pa.array(columns[name], t) for name, t in types.items()]
+                return pa.RecordBatch.from_arrays(made, list(types))
+
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                heads, rare_row, rare_word, rare_times = [], [], [], []
+                heads, first = [], row
+                rare = {"row": [], "word": [], "times": []}
+                steps_left = {"row": [], "before": [], "word": []}
                 for x in batch.column(1).cast(pa.binary()):
                     tokens = tokens_of(x.as_py())
                     ids, steps = steps_of(tokens, number, size)
-                    heads.append((row, len(tokens), int((ids >= 0).sum()), *walk(ids, steps, weights)))
-                    rare = Counter([tokens[i] for i in np.flatnonzero(ids < 0).tolist()])
-                    rare_row += [row] * len(rare)
-                    rare_word += rare.keys()
-                    rare_times += rare.values()
+                    walk_of, alone, seen = walk(ids, steps, weights)
+                    heads.append((len(tokens), int((ids >= 0).sum()), walk_of, alone))
+                    without = Counter([tokens[i] for i in np.flatnonzero(ids < 0).tolist()])
+                    rare["row"] += [row] * len(without)
+                    rare["word"] += without.keys()
+                    rare["times"] += without.values()
+                    left = np.flatnonzero(~seen).tolist()
+                    for k in range(0, len(left), HELD_ROWS):
+                        some = left[k : k + HELD_ROWS]
+                        steps_left["row"] += [row] * len(some)
+                        steps_left["before"] += [tokens[i - 1] if i else START for i in some]
+                        steps_left["word"] += [tokens[i] for i in some]
+                        if len(steps_left["row"]) >= HELD_ROWS:
+                            yield told(len(steps_left["row"]), **steps_left)
+                            steps_left = {"row": [], "before": [], "word": []}
                     row += 1
-                m, n = len(heads), len(rare_row)
-                columns = list(zip(*heads, strict=True))
-                none = lambda kind, k: pa.nulls(k, kind)
-                head = [pa.array(columns[0], pa.int64()), batch.column(0), batch.column(2)]
-                head += [pa.array(c, pa.int64()) for c in columns[1:3]] + [pa.array(c, pa.float64()) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays([*head, none(pa.binary(), m), none(pa.int64(), m)], names)
-                rest = [pa.array(rare_row, pa.int64()), none(batch.column(0).type, n), none(pa.bool_(), n)]
-                rest += [none(pa.int64(), n)] * 2 + [none(pa.float64(), n)] * 2
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(rare_word, pa.binary()), pa.array(rare_times, pa.int64())], names)
+                n_tokens, n_known, walks, alones = zip(*heads, strict=True)
+                yield told(
+                    len(heads), row=range(first, row), doc_id=batch.column(0).to_pylist(), held_out=batch.column(2).to_pylist(),
+                    n_tokens=n_tokens, n_known=n_known, walk=walks, alone=alones,
+                )
+                yield told(len(rare["row"]), **rare)
+                yield told(len(steps_left["row"]), **steps_left)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, walk double, alone double, word binary, times long"
+        run,
+        f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, walk double, alone double, before binary, word binary, times long",
     )
 
 
+def pair_gains(pairs: DataFrame, weights: DataFrame, frequent: Column, n: int, v: int) -> DataFrame:
+    """(before, word, gain): what log10 of a bigram's arc is above the failure arc and the word's own, for all of ``pairs``.
+
+    Words that are ``frequent`` are looked up in a broadcast, so joins by word have no hot key."""
+    often, rest = weights.filter(frequent), weights.filter(~frequent)
+    kinds = lambda w: w.select(F.col("word").alias("before"), "kinds")
+    both = pairs.filter("often").join(F.broadcast(kinds(often)), "before").unionByName(pairs.filter("not often").join(kinds(rest), "before"))
+    after = rest.select("word", F.col("total").alias("after"))
+    every = both.filter("after is not null").unionByName(both.filter("after is null").drop("after").join(after, "word"))
+    own = (F.col("total") - DISCOUNT) * F.lit(float(n + v + 1)) / (DISCOUNT * F.col("kinds") * (F.col("after") + 1))
+    return every.select("before", "word", F.log10(1 + own).alias("gain"))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``.
 
     Tokens are the words (runs of anything but ASCII white space, A-Z lower-cased) and one end. The model learns from the
-    rows that aren't ``held``. ``base_score`` is the add-one unigram model's log10 probability, ``score`` the automaton's.
+    rows that aren't ``held``. ``base_score`` is the add-one unigram model's log10 probability, ``score`` the bigram model's.
     A null text is like an empty one: an end alone. Without any training row every token is unknown. Repeated rows count
     each, null ids are kept.
     """
@@ -189,35 +222,48 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     totals = cut(word_counts(training), "lm-words")
     sums = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"], sums["v"]
-    often = totals.filter((F.col("total") >= WORD_SHARE * n) & (F.col("word") != F.lit(END))).collect()  # at most 1 / WORD_SHARE
-    often.sort(key=lambda r: bytes(r["word"]))
-    ends = totals.filter(F.col("word") == F.lit(END)).collect()
-    documents = ends[0]["total"] if ends else 0
-    numbers = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(often)}
-    counts = np.array([documents, *[r["total"] for r in often]], np.int64)
+    edge = F.col("word").isin(START, END)
+    frequent = edge | (F.coalesce("total", F.lit(0)) >= WORD_SHARE * n)  # at most 1 / WORD_SHARE and two
+    known = totals.filter(frequent)
+    pairs = (
+        pair_counts(training)
+        .join(F.broadcast(known.select("word", F.col("total").alias("after"))), "word", "left")
+        .join(F.broadcast(known.select(F.col("word").alias("before"), F.lit(True).alias("often"))), "before", "left")
+        .withColumn("often", F.coalesce("often", F.col("before") == START))
+    )
+    pairs = cut(pairs, "lm-pairs")
+    kinds = pairs.groupBy(F.col("before").alias("word")).agg(F.count(F.lit(1)).alias("kinds"))
+    weights = cut(totals.join(kinds, "word", "full"), "lm-weights")
+    told = {bytes(r["word"]): (r["total"] or 0, r["kinds"] or 0) for r in weights.filter(frequent).collect()}
+    documents, start_kinds = told.pop(END, (0, 0))[0], told.pop(START, (0, 0))[1]
+    often = sorted(told)
+    numbers = {END: 0} | {word: i + 1 for i, word in enumerate(often)}
+    counts = np.array([documents, *[told[w][0] for w in often]], np.int64)
+    followers = np.array([0, *[told[w][1] for w in often], start_kinds], np.int64)
     shared = spark.sparkContext.broadcast(numbers)
-    kept = pair_counts(training, shared).filter(F.col("total") >= max(2, PAIR_SHARE * n)).toArrow()  # at most 1 / PAIR_SHARE
-    pairs, pair_totals = kept.column("pair").to_numpy(), kept.column("total").to_numpy()
-    order = np.argsort(pairs)
-    model = spark.sparkContext.broadcast(automaton(counts, documents, pairs[order], pair_totals[order].astype(float), n, v))
+    kept = pairs.filter(F.col("often") & F.col("after").isNotNull() & (F.col("total") >= max(2, PAIR_SHARE * n))).select("before", "word", "total").toArrow()  # at most 1 / PAIR_SHARE
+    size = len(numbers)
+    number = numbers | {START: size}
+    ids = np.array([number[b] * (size + 1) + numbers[w] for b, w in zip(kept.column("before").to_pylist(), kept.column("word").to_pylist(), strict=True)], np.int64)
+    pair_totals, order = kept.column("total").to_numpy(), np.argsort(ids)
+    model = spark.sparkContext.broadcast(automaton(counts, documents, ids[order], pair_totals[order].astype(float), n, v, followers))
     found = cut(walked(rows, shared, model), "lm-walks")
-    rare = found.filter("word is not null").select("row", "word", "times").join(totals, "word", "left")
+    rare = found.filter("before is null and word is not null").select("row", "word", "times").join(weights, "word", "left")
     c = F.coalesce("total", F.lit(0))
-    none = {"n_tokens": F.lit(None).cast("long"), "doc_id": F.lit(None).cast(found.schema["doc_id"].dataType), "held_out": F.lit(None).cast("boolean")}
-    beyond = rare.select(
-        "row", none["doc_id"].alias("doc_id"), none["held_out"].alias("held_out"), none["n_tokens"].alias("n_tokens"),
-        F.when(c > 0, F.col("times")).otherwise(0).alias("n_known"), F.lit(0.0).alias("walk"),
-        (F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("alone"), F.lit(0.0).alias("own"),
+    alone = F.log10((c + 1) / F.lit(float(n + v + 1)))
+    fail = F.when(c > 0, F.log10(DISCOUNT * F.col("kinds") / c)).otherwise(0.0)
+    nothing = [F.lit(None).cast(found.schema[x].dataType).alias(x) for x in ("doc_id", "held_out", "n_tokens")]
+    words = rare.select(
+        "row", *nothing, F.when(c > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * alone).alias("alone"), (F.col("times") * (alone + fail)).alias("walk")
     )
-    heads = found.filter("word is null").select("row", "doc_id", "held_out", "n_tokens", F.when(F.lit(n) > 0, F.col("n_known")).otherwise(0).alias("n_known"), "walk", "alone", F.col("alone").alias("own"))
-    both = heads.unionByName(beyond).groupBy("row").agg(
+    arcs = found.filter("before is not null").select("row", "before", "word").join(pair_gains(pairs, weights, frequent, n, v), ["before", "word"])
+    arcs = arcs.select("row", *nothing, F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("alone"), F.col("gain").alias("walk"))
+    heads = found.filter("word is null").select("row", "doc_id", "held_out", "n_tokens", F.when(F.lit(n) > 0, F.col("n_known")).otherwise(0).alias("n_known"), "alone", "walk")
+    both = heads.unionByName(words).unionByName(arcs).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("alone").alias("base_score"), F.sum("walk").alias("walk"), F.sum("own").alias("own"),
-    )
-    return both.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",
-        (F.col("walk") + F.col("base_score") - F.col("own")).alias("score"),
+        F.sum("alone").alias("base_score"), F.sum("walk").alias("score"),
     )
+    return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

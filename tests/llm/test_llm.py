@@ -249,6 +249,37 @@ def test_lm_scores(docs, rows):
     assert lm_score.lm_scores(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(1e-5, 1e-6), (0.02, 0.004), (2.0, 2.0)])
+def test_lm_scores_are_those_of_all_bigrams(spark, rows, shares, monkeypatch):
+    monkeypatch.setattr(lm_score, "WORD_SHARE", shares[0])
+    monkeypatch.setattr(lm_score, "PAIR_SHARE", shares[1])
+    rng = random.Random(8)
+    own = {i: t for i, t in rows if i is not None} | {1000 + i: " ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(40)) for i in range(40)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+    own = {i: (t or "").encode().lower().split() + [b" "] for i, t in own.items()}
+    words, pairs = Counter(), Counter()
+    for i, ws in own.items():
+        if i % 3:
+            words.update(ws)
+            pairs.update(zip([b""] + ws[:-1], ws, strict=True))
+    n, v, uses, kinds = sum(words.values()), len(words), Counter(), Counter()
+    for (before, _), times in pairs.items():
+        uses[before] += times
+        kinds[before] += 1
+
+    def probability(before, word):
+        alone = (words[word] + 1) / (n + v + 1)
+        if not uses[before]:
+            return alone
+        return (max(pairs[before, word] - 0.75, 0) + 0.75 * kinds[before] * alone) / uses[before]
+
+    found = lm_score.lm_scores(df, held=F.col("doc_id") % 3 == 0).collect()
+    assert len(found) == len(own)
+    for r in found:
+        ws = own[r["doc_id"]]
+        assert isclose(r["score"], sum(log10(probability(b, w)) for b, w in zip([b""] + ws[:-1], ws, strict=True)), abs_tol=1e-6)
+
+
 def test_automaton_weights_sum_to_one():
     counts, documents = np.array([3, 5, 4]), 3
     pairs, totals = np.array([0 * 4 + 1, 3 * 4 + 1, 1 * 4 + 2]), np.array([2.0, 3.0, 2.0])
