@@ -1,8 +1,9 @@
 """URL filters: rules first, then a tree of path templates for each host.
 
 The segments of a path become a template: numbers, hexadecimal strings and other codes turn into wildcards. Level by
-level from the root, the branches under a node that has many are merged into ``*`` where their labelled bad share doesn't
-differ from the node's by more than chance. A template whose smoothed labelled purity is too low is rejected. All
+level from the root, the branches under a node are merged into ``*`` where their labelled bad share doesn't differ from
+the node's by more than chance. Labels come from the pages themselves (``bad_page``), so every template with a page that
+has a text is labelled, whether a rule fits it or not. A template whose smoothed labelled purity is too low is rejected. All
 statistics are sums over aggregated templates, so a host with any share of the pages is as spread out as others.
 """
 
@@ -24,13 +25,14 @@ RULES = (
 )
 #: Levels of a template; what lies deeper is one tail wildcard.
 DEPTH = 4
-#: A node with more literal branches than this merges those that are alike.
-BRANCHES = 8
 #: Standard errors up to which a branch is like its node.
 Z = 1.96
 #: Rows that the prior counts for, its purity, and the purity under which a template is rejected.
 PRIOR_ROWS, PRIOR_PURITY, MIN_PURITY = 5.0, 0.8, 0.5
 
+#: A page with fewer words of text than this, or with one of these words, is labelled as bad.
+MIN_WORDS, BAD_WORDS = 50, ("casino", "bets", "pills", "viagra", "poker", "lottery")
+
 
 def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -49,6 +51,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def bad_page(html: Column) -> Column:
+    """1 if a page's text (without scripts, styles, comments and tags) is short or has a bad word, else 0; null without a page."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^<>]*>", " ")
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.when(html.isNotNull(), ((words < MIN_WORDS) | text.rlike(rf"(?i)\b({'|'.join(BAD_WORDS)})\b")).cast("int"))
+
+
 def template_of(path: Column) -> Column:
     """The path's segments, variable ones as wildcards; at most DEPTH and a tail."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
@@ -81,7 +90,7 @@ def _merge_level(tree: DataFrame, level: int) -> DataFrame:
     share = (F.col("_bad") + PRIOR_ROWS * (1 - PRIOR_PURITY)) / (F.col("_labelled") + PRIOR_ROWS)
     own = (F.col("bad") + PRIOR_ROWS * (1 - PRIOR_PURITY)) / (F.col("labelled") + PRIOR_ROWS)
     error = F.sqrt(share * (1 - share) * (1 / (F.col("labelled") + PRIOR_ROWS) + 1 / (F.col("_labelled") + PRIOR_ROWS)))
-    alike = branches.join(nodes.filter(F.col("_width") > BRANCHES), ["host", "_node"]).filter(F.abs(own - share) <= Z * error)
+    alike = branches.join(nodes.filter(F.col("_width") > 1), ["host", "_node"]).filter(F.abs(own - share) <= Z * error)
     merged = keyed.join(alike.select("host", "_node", "_branch", F.lit(True).alias("_alike")), ["host", "_node", "_branch"], "left")
     star = F.transform("at", lambda s, i: F.when(F.col("_alike") & (i == level), F.lit("*")).otherwise(s))
     return merged.select("host", "first", F.when(F.col("_alike"), star).otherwise(F.col("at")).alias("at"), "n", "labelled", "bad")
@@ -123,5 +132,5 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    found = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), bad=bad_page(F.col("html")))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")

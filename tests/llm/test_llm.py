@@ -316,6 +316,18 @@ def test_urls(spark):
     assert all(found[100 + i][3] == "block" for i in range(30))
 
 
+def test_op3_blocks_by_purity(spark, tmp_path):
+    good, bad = "<p>" + "word " * 80 + "</p>", "<p>" + "word " * 80 + "<b>Casino</b></p>"
+    rows = [(i, f"http://few.org/{'abc'[i % 3]}/{i}", bad) for i in range(6)] + [(10 + i, f"http://few.org/ok/{i}", good) for i in range(30)]
+    rows += [(50 + i, f"http://one.org/x/{i}", "<script>word</script><p>short</p>") for i in range(8)]
+    rows += [(60 + i, f"http://two.org/{'abc'[i % 3]}/{i}", bad) for i in range(6)]
+    rows += [(70, "http://one.org/x/70", good), (71, "http://one.org/x/71", None), (72, "http://new.org/x", None), (73, None, bad)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.op3_url_filter(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) and {r for r, _ in found.values()} == {None}
+    assert {i for i, (_, v) in found.items() if v == "block"} == {*range(50, 58), *range(60, 66), 70, 71}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
