@@ -2,7 +2,8 @@
 
 Prose and code take few tokens for their length, since a byte-pair vocabulary has learnt their parts; random strings take
 many. A run of key-like characters with fewer than MIN_RATIO characters per token is reported as ``random``, unless it is
-a known digest, a UUID, a number or an identifier, or lies in a span that a pattern has found.
+a known digest, a UUID, a number or an identifier of delimited words, or lies in a span that a pattern has found. Whether
+letters make words is left to the tokenizer, so keys of few or no digits are found too.
 """
 
 from __future__ import annotations
@@ -30,10 +31,9 @@ MIN_RATIO = 2.0
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-#: The parts of a run: words in any case, and numbers.
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: A run with few digits whose words are this long on average is an identifier.
-IDENTIFIER_DIGITS, IDENTIFIER_WORD = 4, 3.0
+#: What divides an identifier or a path into its parts; parts up to SHORT_PART are too short to be judged.
+DELIMITERS = re.compile(r"[+/_=-]+")
+SHORT_PART = 2
 #: Characters that are given to the tokenizer at once: its time grows with the square of a run without any break.
 TOKENIZED = 512
 
@@ -46,19 +46,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def excluded(run: str) -> bool:
-    """Whether a run is a known digest, a UUID, a number or an identifier."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+def tokens(run: str, encoding) -> int:
+    return sum(len(encoding.encode_ordinary(run[i : i + TOKENIZED])) for i in range(0, len(run), TOKENIZED))
+
+
+def excluded(run: str, encoding) -> bool:
+    """Whether a run is a known digest, a UUID, a number or an identifier: delimited parts that are all numbers or words."""
+    if not any(c.isalpha() for c in run):
         return True
     if UUID.fullmatch(run) or (len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)):
         return True
-    parts = PARTS.findall(run)
-    words = [p for p in parts if p.isalpha()]
-    return sum(map(len, parts)) - sum(map(len, words)) <= IDENTIFIER_DIGITS and sum(map(len, words)) >= IDENTIFIER_WORD * len(words)
-
-
-def tokens(run: str, encoding) -> int:
-    return sum(len(encoding.encode_ordinary(run[i : i + TOKENIZED])) for i in range(0, len(run), TOKENIZED))
+    parts = [p for p in DELIMITERS.split(run) if p]
+    return len(parts) > 1 and all(len(p) <= SHORT_PART or p.isdigit() or len(p) >= MIN_RATIO * tokens(p, encoding) for p in parts)
 
 
 def random_spans(text: str, encoding, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -72,7 +71,7 @@ def random_spans(text: str, encoding, taken: list[tuple[str, int, int]]) -> list
         start, end = m.span()
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if any(not x.isascii() and x.isalnum() for x in (text[start - 1 : start], text[end : end + 1])) or excluded(m[0]):
+        if any(not x.isascii() and x.isalnum() for x in (text[start - 1 : start], text[end : end + 1])) or excluded(m[0], encoding):
             continue
         if at < len(covered) and covered[at][0] < end:
             continue

@@ -302,6 +302,30 @@ def test_secrets(spark):
     assert found[2] == [] and found[None] == []
 
 
+def random_of(texts):
+    import public_tokenizers
+
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return [[t[s:e] for _, s, e in secrets.random_spans(t, encoding, [])] for t in texts]
+
+
+def test_secrets_of_few_digits():
+    import string
+
+    rng = random.Random(12)
+    for letters, length, least in [
+        (string.ascii_uppercase + "234567", 16, 0.97), (string.ascii_uppercase + "234567", 32, 0.99), (string.ascii_lowercase + string.digits, 16, 0.95),
+        (string.ascii_lowercase + string.digits, 32, 0.99), (string.ascii_letters, 20, 0.97), (string.ascii_letters, 40, 0.99), (string.ascii_uppercase, 20, 0.95),
+        (string.ascii_letters + string.digits, 16, 0.97), (string.ascii_letters + string.digits + "+/", 40, 0.99), (string.ascii_lowercase, 32, 0.93),
+    ]:
+        keys = ["".join(rng.choices(letters, k=length)) for _ in range(500)]
+        found = random_of([f"value {k} here" for k in keys])
+        assert sum(any(len(x) > length // 2 for x in f) for f in found) >= least * 500, letters
+    words = "my_config_value_2024 getUserAccountById2 /usr/bin/env/x/y/z/w/v int32_to_fp16_kv_cache_q8 2024-01-02/2024-03-04 HTTPServerRequestHandlerFactory"
+    words += " internationalization Donaudampfschifffahrtsgesellschaft org/apache/spark/sql/functions ---------------- 123e4567-e89b-12d3-a456-426614174000"
+    assert random_of([words]) == [[]]
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/2#a", "http://b.net/es/3", "x", None, "http://c.org", "http://b.net/es/4/", "http://b.net/de/9", "://q.com/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://spam.org/buy/{i}") for i in range(30)]
