@@ -25,7 +25,7 @@ HEX = re.compile(r"[0-9a-f]+")
 #: The same matches that are long enough: a maximal run of 24 or more, found without a match for every short run.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS = 6, 20
-#: Key-like runs, and what they may not touch: a letter beyond ASCII makes them part of a word.
+#: Key-like runs. What they touch doesn't matter: a key may stand right after a word of a script without spaces.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MIN_RATIO = 2.0
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -71,7 +71,7 @@ def random_spans(text: str, encoding, taken: list[tuple[str, int, int]]) -> list
         start, end = m.span()
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if any(not x.isascii() and x.isalnum() for x in (text[start - 1 : start], text[end : end + 1])) or excluded(m[0], encoding):
+        if excluded(m[0], encoding):
             continue
         if at < len(covered) and covered[at][0] < end:
             continue

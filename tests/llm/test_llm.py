@@ -326,6 +326,13 @@ def test_secrets_of_few_digits():
     assert random_of([words]) == [[]]
 
 
+def test_secrets_beside_other_scripts():
+    key = "q7Zk2mXw9Rt4Vb8Nc3Lp6Hs1Jd5Gf0"
+    texts = [f"{a}{key}{b}" for a, b in [("密钥", "です"), ("鍵は", ""), ("", "को"), ("ключ", ""), ("clé", "é"), ("٣", "٣")]]
+    assert random_of(texts) == [[key]] * len(texts)
+    assert random_of(["größeninternationalizationä naïveadministrationsß"]) == [[]]
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/2#a", "http://b.net/es/3", "x", None, "http://c.org", "http://b.net/es/4/", "http://b.net/de/9", "://q.com/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://spam.org/buy/{i}") for i in range(30)]
