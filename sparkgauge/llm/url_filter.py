@@ -23,8 +23,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Levels of a template; what lies deeper is one tail wildcard.
-DEPTH = 4
 #: Standard errors up to which a branch is like its node.
 Z = 1.96
 #: Rows that the prior counts for, its purity, and the purity under which a template is rejected.
@@ -59,7 +57,7 @@ def bad_page(html: Column) -> Column:
 
 
 def template_of(path: Column) -> Column:
-    """The path's segments, variable ones as wildcards; at most DEPTH and a tail."""
+    """The path's segments, variable ones as wildcards."""
     segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
 
     def general(s: Column) -> Column:
@@ -74,8 +72,7 @@ def template_of(path: Column) -> Column:
         )
         return F.concat(kind, dot)
 
-    made = F.transform(segments, general)
-    return F.when(F.size(made) > DEPTH, F.concat(F.slice(made, 1, DEPTH), F.array(F.lit("**")))).otherwise(made)
+    return F.transform(segments, general)
 
 
 def _merge_level(tree: DataFrame, level: int) -> DataFrame:
@@ -96,15 +93,21 @@ def _merge_level(tree: DataFrame, level: int) -> DataFrame:
     return merged.select("host", "first", F.when(F.col("_alike"), star).otherwise(F.col("at")).alias("at"), "n", "labelled", "bad")
 
 
+def _branches(tree: DataFrame, level: int) -> bool:
+    """Whether any node of ``level`` has more than one row below it, so that it or a deeper one can have branches."""
+    below = tree.filter(F.size("at") > level).groupBy("host", F.slice("at", 1, level).alias("_node")).agg(F.count(F.lit(1)).alias("_rows"))
+    return not below.filter("_rows > 1").isEmpty()
+
+
 def template_purity(pages: DataFrame) -> DataFrame:
     """(host, first, template, purity): the merged template of each template ``first`` of a host. ``pages`` has host,
     first (the template as text), at (its segments) and bad (1, 0, or null without a label)."""
     tree = pages.groupBy("host", "first").agg(
         F.first("at").alias("at"), F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    tree = cut(tree, "url-tree")
-    for level in range(DEPTH):
-        tree = cut(_merge_level(tree, level), "url-tree")
+    tree, level = cut(tree, "url-tree"), 0
+    while _branches(tree, level):
+        tree, level = cut(_merge_level(tree, level), "url-tree"), level + 1
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "at")))
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
     purity = (F.col("_labelled") - F.col("_bad") + PRIOR_ROWS * PRIOR_PURITY) / (F.col("_labelled") + PRIOR_ROWS)

@@ -347,6 +347,14 @@ def test_urls(spark):
     assert all(found[100 + i][3] == "block" for i in range(30))
 
 
+def test_deep_branches_of_urls(spark):
+    rows = [(i, f"http://deep.org/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{i}", (i + 1) % 2) for i in range(60)]
+    rows += [(100, "http://long.org/" + "x/" * 9, 0), (101, "http://long.org/" + "y/" * 9, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    found = {r["id"]: r["verdict"] for r in url_filter.judge_urls(df, bad=F.col("bad")).collect()}
+    assert found == {i: "block" if b else "allow" for i, _, b in rows}
+
+
 def test_op3_blocks_by_purity(spark, tmp_path):
     good, bad = "<p>" + "word " * 80 + "</p>", "<p>" + "word " * 80 + "<b>Casino</b></p>"
     rows = [(i, f"http://few.org/{'abc'[i % 3]}/{i}", bad) for i in range(6)] + [(10 + i, f"http://few.org/ok/{i}", good) for i in range(30)]
