@@ -347,6 +347,49 @@ def test_urls(spark):
     assert all(found[100 + i][3] == "block" for i in range(30))
 
 
+def test_url_tree_against_a_plain_one(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(1500):
+        path = [rng.choice("abcde") for _ in range(rng.randint(0, 6))]
+        share = 0.9 if "a" in path[:2] else 0.1 if "b" in path else 0.5
+        rows.append((i, rng.choice(["x.org", "y.org"]) + "".join("/" + s for s in path), rng.choice([None, int(rng.random() < share), int(rng.random() < share)])))
+    df = spark.createDataFrame([(i, "http://" + u, b) for i, u, b in rows], "page_id long, url string, bad int")
+    found = {r["id"]: (r["template"], r["purity"], r["verdict"]) for r in url_filter.judge_urls(df, bad=F.col("bad")).collect()}
+
+    at = {i: tuple(u.split("/")) for i, u, _ in rows}  # the host and its segments
+    bad, merges = {i: b for i, _, b in rows}, 0
+
+    def sums(which):
+        told = [bad[i] for i in which if bad[i] is not None]
+        return len(told), sum(told)
+
+    share = lambda labelled, n_bad: (n_bad + 1.0) / (labelled + 5.0)
+    for level in range(1, 8):
+        nodes = {}
+        for i, path in at.items():
+            if len(path) > level:
+                nodes.setdefault(path[:level], {}).setdefault(path[level], []).append(i)
+        for branches in nodes.values():
+            labelled, n_bad = sums([i for which in branches.values() for i in which])
+            p = share(labelled, n_bad)
+            for which in branches.values():
+                n, b = sums(which)
+                if len(branches) > 1 and abs(share(n, b) - p) <= 1.96 * (p * (1 - p) * (1 / (n + 5) + 1 / (labelled + 5))) ** 0.5:
+                    merges += 1
+                    for i in which:
+                        at[i] = (*at[i][:level], "*", *at[i][level + 1 :])
+    groups = {}
+    for i, path in at.items():
+        groups.setdefault(path, []).append(i)
+    assert merges > 50
+    for path, which in groups.items():
+        n, b = sums(which)
+        purity = (n - b + 4.0) / (n + 5.0)
+        for i in which:
+            assert found[i][0] == "/" + "/".join(path[1:]) and isclose(found[i][1], purity) and found[i][2] == ("block" if purity < 0.5 else "allow")
+
+
 def test_deep_branches_of_urls(spark):
     rows = [(i, f"http://deep.org/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{i}", (i + 1) % 2) for i in range(60)]
     rows += [(100, "http://long.org/" + "x/" * 9, 0), (101, "http://long.org/" + "y/" * 9, 0)]
