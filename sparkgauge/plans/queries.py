@@ -91,6 +91,16 @@ def long_paragraphs(spark, sf_dir):
     return _measure(markdown(spark, sf_dir), "structure.lists-over-prose")
 
 
+def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, content): each line of a document as a bullet, however long it is."""
+    lines = F.transform(F.split("content", "\n", -1), lambda s: F.concat(F.lit("- "), s))
+    return _docs(spark, sf_dir).withColumn("content", F.array_join(lines, "\n"))
+
+
+def long_bullets(spark, sf_dir):
+    return _measure(bullets(spark, sf_dir), "clarity.one-rule-per-bullet")
+
+
 def inline_bulk(spark, sf_dir):
     return _measure(markdown(spark, sf_dir), "cost.no-inline-bulk")
 
@@ -194,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reports, token_bands, token_bands_repo_wide, word_count, filler_words, negative_rules, examples_present, output_constraint,
-        written_in_english, duplicate_lines, headings, long_paragraphs, inline_bulk, secrets, internal_hosts, personal_data,
+        written_in_english, duplicate_lines, headings, long_paragraphs, long_bullets, inline_bulk, secrets, internal_hosts, personal_data,
         frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, findings_requested, findings_missing,
         reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, report_texts, report_jsons,
     )
@@ -313,6 +323,10 @@ ORACLES = {
     ),
     "headings": _scored(_HEADINGS, "v", _banded("v", (0, 100), (1, 70), (None, 40))),
     "long_paragraphs": _scored(_PARAGRAPHS, "v", _penalty("v", 15, 20)),
+    "long_bullets": _scored(
+        f"{_PLAIN}, {_LINES % 'd'}, x AS (SELECT doc_id, count(*) FILTER (length(ltrim(s, ' ' || chr(9) || chr(13))) > 200) AS v FROM l GROUP BY doc_id)",
+        "v", _penalty("v", 10, 20),
+    ),
     "inline_bulk": _field("CAST(doc_id % 3 = 0 AS INT)", 0).replace("CASE WHEN v = 1 THEN 100 ELSE 0 END", "CASE WHEN v = 1 THEN 75 ELSE 100 END"),
     "secrets": _hits(_VIEW, f"{_SECRETS} + {_ASSIGNED}", 100),
     "internal_hosts": _hits(_VIEW, _HOSTS, 50),

@@ -143,6 +143,21 @@ def test_criteria_loading(tmp_path):
     assert [c["id"] for c in order] == ["b", "c", "a", "d"] and never == {"d"}
 
 
+def test_long_bullets_are_counted_like_in_sql(spark, tmp_path):
+    import duckdb
+
+    from sparkgauge.plans.queries import ORACLES, QUERIES
+
+    texts = ["x" * 200, "x" * 201, "a " * 150 + "\n" + "short\n\n" + "b " * 150, "  " + "y" * 200, "\n".join(["z" * 300] * 20), "", None]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["value"], r["score"]) for r in QUERIES["long_bullets"](spark, str(tmp_path)).collect()}
+    assert found == {0: (0, 100), 1: (1, 90), 2: (2, 80), 3: (0, 100), 4: (20, 20), 5: (0, 100), 6: (0, 100)}
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert found == {i: (v, s) for i, v, s in db.sql(ORACLES["long_bullets"]).fetchall()}
+
+
 def test_asking_a_model():
     checks = pending_ai_checks(COPILOT, "scoped")[:2]
     good = {"findings": [{"checkId": c["id"], "score": 50, "rationale": "r"} for c in checks] + [{"checkId": "x", "score": 1, "rationale": ""}]}
