@@ -2,8 +2,9 @@
 
 Rows are grouped by length, the survivors by length and the hash of a prefix, and only what survives that too has its
 full text hashed. Between the rounds a bitmap of fixed size carries which keys occurred more than once; it may let a
-lone row through (which costs one more hash, never a wrong group) but never stops a row that has a partner. No round
-moves text between executors.
+lone row through (which costs one more hash, never a wrong group) but never stops a row that has a partner. No text
+moves between executors: groups are told by hash and by the places of their rows, and the rows that go are dropped where
+they are read.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import table
+from sparkgauge.llm.common import BITMAP_BITS as _PER_BITMAP
+from sparkgauge.llm.common import bit_of, cut, located, settled, table, without_rows
 
 #: Bits in the bitmap of surviving keys: 2^24 bits, 2 MB, whatever the input's size.
 FILTER_BITS = 24
-#: Spark's bitmaps hold this many bits each.
-_PER_BITMAP = 32768
 
 
 def _occurs_twice(keyed: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -35,27 +35,17 @@ def _occurs_once(keyed: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFra
 def _with_flag(rows: DataFrame, key: Column, twice: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
     """``rows`` with ``flag``: whether the bit of ``key`` is set. The bitmap has a fixed size, so it is broadcast."""
     bit = F.pmod(key, F.lit(1 << bits))
-    spot = bit % _PER_BITMAP
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = rows.withColumn("_part", F.floor(bit / _PER_BITMAP).cast("int")).join(F.broadcast(twice), "_part", "left")
-    on = F.coalesce(F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return marked.withColumn(flag, on).drop("_part", "_bitmap")
+    return marked.withColumn(flag, bit_of("_bitmap", bit % _PER_BITMAP)).drop("_part", "_bitmap")
 
 
-def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bits: int = FILTER_BITS
-) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (a struct of all its columns), ``keep_id``, ``group_size``, ``kept``.
-
-    A group is the rows whose texts are identical (a null text counts as empty); its row with the largest id stays. Null
-    ids come last: they stay only in a group without another id. Rows that repeat both id and text are told apart by
-    their place in the input, so exactly one row of a group has ``kept``. Any further columns are left alone.
-    """
+def _hashed(docs: DataFrame, place: Column, id_col: str, text_col: str, prefix_chars: int, bits: int, carried: list[str]) -> DataFrame:
+    """(row, _id, _at, _full): each row's columns ``carried``, id and place, and the hash of its text if another may have it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row") if carried else F.lit(None).alias("row"),
         F.col(id_col).alias("_id"),
-        F.monotonically_increasing_id().alias("_at"),
+        place.alias("_at"),
         text.alias("_text"),
         F.xxhash64(F.octet_length(text)).alias("_length_key"),
     )
@@ -66,17 +56,32 @@ def exact_groups(
     by_prefix = _occurs_twice(rows.filter("_prefix_key is not null").select("_prefix_key"), "_prefix_key", bits)
     rows = _with_flag(rows, F.coalesce("_prefix_key", F.lit(0)), by_prefix, "_prefix_twice", bits)
     full = F.when(F.col("_length_twice") & F.col("_prefix_twice"), F.unhex(F.sha2(F.encode("_text", "UTF-8"), 256)))
-    rows = rows.withColumn("_full", full)
-    groups = (
-        rows.filter("_full is not null")
-        .groupBy(F.col("_full").alias("_key"))
-        .agg(F.max(F.struct("_id", "_at")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    )
-    # The join's key is made anew on both sides, so that each is a plain exchange, whose hot partitions Spark can split.
-    groups = groups.withColumn("_key", F.hex("_key"))
+    return rows.select("row", "_id", "_at", full.alias("_full"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(_key, _keep, _size): of each text that was hashed, the id and place of the row that stays, and how many have it."""
+    groups = rows.filter("_full is not null").groupBy("_full").agg(F.max(F.struct("_id", "_at")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    # The joins' key is made anew on both sides, so that each is a plain exchange, whose hot partitions Spark can split.
+    return groups.select(F.hex("_full").alias("_key"), "_keep", "_size")
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bits: int = FILTER_BITS
+) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (a struct of all its columns), ``keep_id``, ``group_size``, ``kept``.
+
+    A group is the rows whose texts are identical (a null text counts as empty), however long; its row with the largest id
+    stays. Null ids come last: they stay only in a group without another id. Rows that repeat both id and text are told
+    apart by where they are stored, so exactly one row of a group has ``kept``. Any further columns, whatever their names,
+    are left alone. An empty table gives an empty one.
+    """
+    names = docs.columns
+    docs, file, place = located(docs)
+    rows = _hashed(docs, F.struct(file.alias("file"), place.alias("row")), id_col, text_col, prefix_chars, bits, names)
     # A row that dropped out on the way is alone: its key is its own place, which no group has.
-    lone = rows.withColumn("_key", F.coalesce(F.hex("_full"), F.concat(F.lit("@"), F.col("_at")))).drop("_text")
-    found = lone.join(groups, "_key", "left")
+    own = F.concat(F.lit("@"), F.col("_at.file"), F.lit(":"), F.col("_at.row"))
+    found = rows.withColumn("_key", F.coalesce(F.hex("_full"), own)).join(_groups(rows), "_key", "left")
     return found.select(
         "row",
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep._id")).alias("keep_id"),
@@ -85,9 +90,19 @@ def exact_groups(
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_groups() doesn't keep; same columns."""
-    return exact_groups(docs, id_col, text_col).filter("kept").select("row.*")
+@settled("unique")
+def _copies(docs: DataFrame, place: Column, id_col: str, text_col: str, prefix_chars: int, bits: int) -> DataFrame:
+    """(file, row): the places of the rows that exact_groups() doesn't keep."""
+    rows = cut(_hashed(docs, place, id_col, text_col, prefix_chars, bits, []).filter("_full is not null").drop("row"), "hashed")
+    met = rows.withColumn("_key", F.hex("_full")).join(_groups(rows).filter("_size > 1"), "_key")
+    return met.filter(F.col("_keep._at") != F.col("_at")).select("_at.file", "_at.row")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bits: int = FILTER_BITS) -> DataFrame:
+    """``docs`` without the rows that exact_groups() doesn't keep; same columns. Only hashes and places are shuffled."""
+    docs, file, row = located(docs)
+    gone = _copies(docs, F.struct(file.alias("file"), row.alias("row")), id_col, text_col, prefix_chars, bits)
+    return without_rows(docs, file, row, gone)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
