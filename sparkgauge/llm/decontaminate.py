@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import table
+from sparkgauge.llm.common import located, settled, table, without_rows
 
 #: Words in a window, in a hashed k-gram, and k-grams in a sliding window: K + REACH = WINDOW.
 WINDOW, K = 10, 5
@@ -22,8 +22,8 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The place of a k-gram in the low bits, 35 bits of its hash above.
 PLACE_BITS = 28
-#: Kept hashes of the items up to which they are broadcast (some 100 MB at most); beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes of the items' kept hashes with the words around them up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -65,6 +65,13 @@ def _fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
     )
 
 
+def _sliced(rows: DataFrame) -> DataFrame:
+    """``rows`` with the words that an extension may look at instead of all (``base`` of them are before), ``place`` in them."""
+    base = F.greatest(F.col("place") - REACH, F.lit(0))
+    rows = rows.withColumn("base", base).withColumn("words", F.slice("words", F.col("base") + 1, WINDOW + REACH))
+    return rows.withColumn("place", F.col("place") - F.col("base"))
+
+
 def _run(step: int) -> Column:
     """How many words in a row agree beyond the k-gram, up to REACH: leftwards (step -1) or rightwards (step 1)."""
     count = F.lit(0)
@@ -75,37 +82,41 @@ def _run(step: int) -> Column:
     return count
 
 
-def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(at, item_id, start, end): the spans of words (end exclusive) of ``docs`` (at, words) that lie in occurrences of a
     window of ``items`` (item_id, words). Spans of a row overlap or repeat; together they cover all hit words."""
     size = F.size("words")
     items = items.filter(size > 0)
     short = sorted(r[0] for r in items.filter(size < WINDOW).select(size).distinct().collect())  # at most nine
-    whole = _fingerprints(items.filter(size >= WINDOW), [])
-    prints = whole.select("item_id", F.col("words").alias("item_words"), "size", "hash", F.col("place").alias("item_place"))
+    prints = _sliced(_fingerprints(items.filter(size >= WINDOW), [])).drop("base")
     for s in short:
+        few = items.filter(size == s)
         grams = _grams(F.col("words"), size, s)
-        few = items.filter(size == s).select(
-            "item_id", F.col("words").alias("item_words"), F.lit(s).alias("size"), F.shiftright(F.get(grams, F.lit(0)), PLACE_BITS).alias("hash"), F.lit(0).alias("item_place")
-        )
-        prints = prints.unionByName(few)
+        prints = prints.unionByName(few.select("item_id", "words", F.lit(s).alias("size"), F.shiftright(F.get(grams, F.lit(0)), PLACE_BITS).alias("hash"), F.lit(0).alias("place")))
+    prints = prints.withColumnsRenamed({"words": "item_words", "place": "item_place"})
     rows = _fingerprints(docs, short)
-    if prints.count() <= broadcast_rows:
-        met = rows.join(F.broadcast(prints), ["size", "hash"]).withColumn("_base", F.lit(0))
+    weight = F.coalesce(F.sum(F.octet_length(F.array_join("item_words", " ")) + F.lit(16 * (WINDOW + REACH) + 100)), F.lit(0))
+    if prints.agg(weight.alias("bytes")).first()["bytes"] <= broadcast_bytes:
+        met = rows.join(F.broadcast(prints), ["size", "hash"]).withColumn("base", F.lit(0))
     else:  # each row takes along the words that the extension looks at, not its whole text
-        base = F.greatest(F.col("place") - REACH, F.lit(0))
-        rows = rows.withColumn("_base", base).withColumn("words", F.slice("words", F.col("_base") + 1, WINDOW + REACH))
-        rows = rows.withColumn("place", F.col("place") - F.col("_base"))
-        met = rows.join(prints, ["size", "hash"])
+        met = _sliced(rows).join(prints, ["size", "hash"])
     met = met.withColumn("_left", _run(-1)).withColumn("_right", _run(1))
     same = F.slice("words", F.col("place") + 1, K) == F.slice("item_words", F.col("item_place") + 1, K)
     long_hit = (F.col("size") == WINDOW) & same & (F.col("_left") + F.col("_right") >= REACH)
     short_hit = (F.col("size") < WINDOW) & (F.slice("words", F.col("place") + 1, F.col("size")) == F.col("item_words"))
-    start = F.col("_base") + F.col("place") - F.when(F.col("size") == WINDOW, F.col("_left")).otherwise(0)
-    end = F.col("_base") + F.col("place") + F.when(F.col("size") == WINDOW, K + F.col("_right")).otherwise(F.col("size"))
+    start = F.col("base") + F.col("place") - F.when(F.col("size") == WINDOW, F.col("_left")).otherwise(0)
+    end = F.col("base") + F.col("place") + F.when(F.col("size") == WINDOW, K + F.col("_right")).otherwise(F.col("size"))
     return met.filter(long_hit | short_hit).select("at", "item_id", start.alias("start"), end.alias("end"))
 
 
+def _words_by_place(docs: DataFrame, place: Column, text_col: str) -> DataFrame:
+    return docs.select(place.alias("at"), words_of(F.col(text_col)).alias("words"))
+
+
+def _tests(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return items.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     carry: list[str] | None = None,
@@ -115,17 +126,19 @@ def decontaminate(
     items with an occurring window).
 
     Null and empty texts have no words and no hits, and an item without words has no window. An item with a null id marks
-    words but isn't listed. Repeated rows are judged each by itself. Further columns are left alone.
+    words but isn't listed. Repeated rows are judged each by itself, texts of any length as a whole. Further columns,
+    whatever their names, are left alone. Without any item nothing is hit; an empty table gives an empty one.
     """
+    names = docs.columns if carry is None else carry
+    docs, file, place = located(docs)
+    at = F.struct(file.alias("file"), place.alias("row"))
     n_words = F.regexp_count(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         n_words.cast("long").alias("n_words"),
-        F.monotonically_increasing_id().alias("at"),
+        at.alias("at"),
     )
-    texts = docs.select(F.monotonically_increasing_id().alias("at"), words_of(F.col(text_col)).alias("words"))
-    tests = items.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
-    found = hits(texts, tests).groupBy("at").agg(
+    found = hits(_words_by_place(docs, at, text_col), _tests(items, item_col, item_text_col)).groupBy("at").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items")
     )
     # A fold over the sorted spans that keeps the open one and what is done.
@@ -157,9 +170,16 @@ def decontaminate(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows in which a window of an item occurs; same columns."""
-    return decontaminate(docs, items).filter("n_hit = 0").select("row.*")
+@settled("contaminated")
+def _contaminated(docs: DataFrame, place: Column, items: DataFrame, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    return hits(_words_by_place(docs, place, text_col), _tests(items, item_col, item_text_col)).select("at.*").distinct()
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs; same columns. No text is shuffled."""
+    docs, file, row = located(docs)
+    gone = _contaminated(docs, F.struct(file.alias("file"), row.alias("row")), items, text_col, item_col, item_text_col)
+    return without_rows(docs, file, row, gone)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
