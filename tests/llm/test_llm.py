@@ -138,7 +138,7 @@ def hit_words(words, items):
     return len(hit), sorted(str(n) for n in names if n is not None)
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
+@pytest.mark.parametrize("limit", [-1, 1 << 26])
 def test_decontaminate(docs, rows, spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate.hits, "__defaults__", (limit,))
     rng = random.Random(9)
@@ -236,60 +236,76 @@ def test_quality(spark):
     assert set(quality.score(quality.train(np.zeros((0, 25), np.float32), np.zeros(0)), np.zeros((2, 25)))) == {0.5}
 
 
-def test_lm_scores(docs, rows):
-    held = F.col("doc_id") % 3 == 0
-    found = lm_score.lm_scores(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), held=held).collect()
-    own = {i: (t or "").encode().lower().split() + [b" "] for i, t in rows if i is not None}
-    counts = Counter(w for i, ws in own.items() if i % 3 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for r in found:
-        words = own[r["doc_id"]]
-        assert isclose(r["base_score"], sum(log10((counts[w] + 1) / (n + v + 1)) for w in words), abs_tol=1e-6)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
+class PlainModel:
+    """The trigram model as counts in dictionaries, and its automaton as one walk that goes from state to state."""
+
+    def __init__(self, training):
+        self.counts = Counter()
+        for tokens in training:
+            for k in (1, 2, 3):
+                padded = [b"", *tokens] if k > 1 else tokens
+                self.counts.update(tuple(padded[i : i + k]) for i in range(len(padded) - k + 1))
+        self.n, self.v = sum(c for g, c in self.counts.items() if len(g) == 1), sum(len(g) == 1 for g in self.counts)
+        self.counts[(b"",)] = len(training)
+
+    def probability(self, context, word):
+        if not context:
+            return (self.counts[word,] + 1) / (self.n + self.v + 1)
+        prior = lm_score.PRIOR[len(context) + 1]
+        return (self.counts[*context, word] + prior * self.probability(context[1:], word)) / (self.counts[context] + prior)
+
+    def walk(self, tokens):
+        total, state = 0.0, (b"",)
+        for word in tokens:
+            at = state
+            while at and (not self.counts[at] or not self.counts[*at, word]):
+                if self.counts[at]:
+                    prior = lm_score.PRIOR[len(at) + 1]
+                    total += log10(prior / (self.counts[at] + prior))
+                at = at[1:]
+            total += log10(self.probability(at, word))
+            state = (*state, word)[-2:]
+            while state and not self.counts[state]:
+                state = state[1:]
+        return total
+
+
+@pytest.mark.parametrize(("block", "ranges"), [(1 << 20, 1 << 21), (300, 150), (1, 40)])
+def test_lm_scores(docs, rows, block, ranges):
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    found = lm_score.lm_scores(docs, held=held, block_tokens=block, range_grams=ranges).collect()
+    own = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in rows]
+    out = lambda i: i is not None and i % 3 == 0
+    model, want = PlainModel([ws for i, ws in own if not out(i)]), {}
+    for i, ws in own:
+        base = sum(log10(model.probability((), w)) for w in ws)
+        plain = sum(log10(model.probability(tuple(c for c in [b"", *ws][max(0, k - 1) : k + 1]), w)) for k, w in enumerate(ws))
+        assert isclose(plain, model.walk(ws), abs_tol=1e-6)
+        want.setdefault(i, []).append((out(i), len(ws), sum(model.counts[w,] > 0 for w in ws), model.n, base, plain))
+    assert Counter(r["doc_id"] for r in found) == Counter(i for i, _ in own)
+    for i in want:
+        got = sorted(tuple(r)[1:] for r in found if r["doc_id"] == i)
+        for a, b in zip(got, sorted(want[i]), strict=True):
+            assert a[:4] == b[:4] and isclose(a[4], b[4], abs_tol=1e-6) and isclose(a[5], b[5], abs_tol=1e-6)
+
+
+def test_lm_scores_of_none(docs, rows):
     assert lm_score.lm_scores(empty(docs)).count() == 0
+    found = lm_score.lm_scores(docs, held=F.lit(True)).collect()  # nothing to learn from
+    assert {(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in found} == {(0, 0, 0.0, 0.0)} and len(found) == len(rows)
 
 
-@pytest.mark.parametrize("shares", [(1e-5, 1e-6), (0.02, 0.004), (2.0, 2.0)])
-def test_lm_scores_are_those_of_all_bigrams(spark, rows, shares, monkeypatch):
-    monkeypatch.setattr(lm_score, "WORD_SHARE", shares[0])
-    monkeypatch.setattr(lm_score, "PAIR_SHARE", shares[1])
-    rng = random.Random(8)
-    own = {i: t for i, t in rows if i is not None} | {1000 + i: " ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(40)) for i in range(40)}
-    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
-    own = {i: (t or "").encode().lower().split() + [b" "] for i, t in own.items()}
-    words, pairs = Counter(), Counter()
-    for i, ws in own.items():
-        if i % 3:
-            words.update(ws)
-            pairs.update(zip([b""] + ws[:-1], ws, strict=True))
-    n, v, uses, kinds = sum(words.values()), len(words), Counter(), Counter()
-    for (before, _), times in pairs.items():
-        uses[before] += times
-        kinds[before] += 1
-
-    def probability(before, word):
-        alone = (words[word] + 1) / (n + v + 1)
-        if not uses[before]:
-            return alone
-        return (max(pairs[before, word] - 0.75, 0) + 0.75 * kinds[before] * alone) / uses[before]
-
-    found = lm_score.lm_scores(df, held=F.col("doc_id") % 3 == 0).collect()
-    assert len(found) == len(own)
-    for r in found:
-        ws = own[r["doc_id"]]
-        assert isclose(r["score"], sum(log10(probability(b, w)) for b, w in zip([b""] + ws[:-1], ws, strict=True)), abs_tol=1e-6)
-
-
-def test_automaton_weights_sum_to_one():
-    counts, documents = np.array([3, 5, 4]), 3
-    pairs, totals = np.array([0 * 4 + 1, 3 * 4 + 1, 1 * 4 + 2]), np.array([2.0, 3.0, 2.0])
-    order = np.argsort(pairs)
-    n, v = 12, 3
-    model = lm_score.automaton(counts, documents, pairs[order], totals[order], n, v)
-    for state in range(4):
-        after = [lm_score.walk(np.array([w]), np.array([0]), model)[1] for w in range(3)]
-        total = sum(10 ** (model["arc"][list(pairs[order]).index(state * 4 + w)] if state * 4 + w in pairs else model["fail"][state] + after[w]) for w in range(3))
-        assert isclose(total + 10 ** model["fail"][state] / (n + v + 1), 1.0, rel_tol=1e-9)  # the rest is an unknown word's
+def test_the_automaton_gives_probabilities():
+    model = PlainModel([b"a b a c".split() + [b" "], b"b a".split() + [b" "], [b" "]])
+    for context in ((), (b"a",), (b"",), (b"a", b"b"), (b"", b"b"), (b"x", b"y")):
+        words = [g[0] for g in model.counts if len(g) == 1 and g != (b"",)]
+        assert isclose(sum(model.probability(context, w) for w in [*words, b"unknown"]), 1.0)
+
+
+def test_numbers_in_few_bytes():
+    for x in ([], [0], [255, 0], [256, 1], [2**40, 7], [2**63 + 5]):
+        x = np.array(x, np.uint64)
+        assert (lm_score._wide(lm_score._narrow(x), len(x)) == x).all()
 
 
 def test_secrets(spark):
