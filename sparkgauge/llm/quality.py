@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import cut, table
+from sparkgauge.llm.common import cut, located, settled, table, without_rows
 
-#: Rows that a classifier is fitted on at most (those with the smallest hash of their id): 20 MB of features.
+#: Rows that a classifier is fitted on at most (those with the smallest hashes of their id and row): 20 MB of features.
 MAX_TRAIN_ROWS = 200_000
+#: log2 of the classes of hashes that are taken or left as a whole.
+HASH_CLASSES = 12
 TREES, DEPTH, BINS, RATE, RIDGE, MIN_WEIGHT = 80, 4, 48, 0.15, 1.0, 2.0
 THRESHOLD = 0.3
 
@@ -145,53 +147,72 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): each row's statistics; nothing but the text goes in."""
+    """(doc_id, file, row, x): each row's place and statistics; nothing but the text goes into x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features_of(batch.column(1))
+            x = features_of(batch.column(3))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], values], ["doc_id", "file", "row", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    docs, file, row = located(docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), file.alias("file"), row.alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, file long, row long, x array<float>")
 
 
-def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Train on the labelled rows of ``features`` that aren't held out: all of them, or the ``max_rows`` with the smallest
-    hash of their id. Rows without a label or id don't count. Without any, every score is a half."""
+def training_rows(features: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics and labels of the labelled rows of ``features`` that aren't held out: all, or ``max_rows`` at most,
+    those in the first classes of hashes. Which classes is decided by counts, so no task sees more than its own rows."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
-    rows = features.filter(~held_out()).join(known, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows).select("x", "label").toPandas()
-    x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
-    return train(x, (rows["label"].to_numpy(float) > 0).astype(float))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = features.filter(~held_out()).join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id", "row"))
+    rows = rows.withColumn("class", F.shiftrightunsigned("hash", 64 - HASH_CLASSES))
+    taken, classes = 0, 0
+    for r in rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect():  # 2^HASH_CLASSES rows at most
+        if taken + r["n"] > max_rows:
+            break
+        taken, classes = taken + r["n"], r["class"] + 1
+    got = rows.filter(F.col("class") < classes).select("hash", "x", "label").toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    order = np.lexsort((*x.T, got.column("hash").to_numpy()))
+    return x[order], (got.column("label").to_numpy()[order] > 0).astype(float)
+
+
+def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> dict[str, np.ndarray]:
+    """Train on training_rows(). Rows without a label or id don't count; of several labels of an id the largest counts, and
+    each row with the id. Without any row every score is a half."""
+    return train(*training_rows(features, labels, label_col, max_rows))
 
 
 def score_features(features: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``features`` (doc_id, x) with ``score`` in place of x."""
+    """``features`` (doc_id, file, row, x) with ``score`` in place of x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(model, x))], ["doc_id", "score"])
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score(model, x))], ["doc_id", "file", "row", "score"])
 
-    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
+    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, file long, row long, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``; same columns. Texts aren't moved: the model goes to them."""
-    model = fit(cut(document_features(docs), "features"), labels)
-    at = docs.columns.index(text_col)
+@settled("quality")
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(doc_id, file, row, score): one row per row of ``docs``, whose labels (doc_id, quality) it learns from.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(score(model, features_of(batch.column(at))) >= threshold))
+    Null and empty texts are scored like others, texts of any length as a whole, repeated rows each by itself; null ids are
+    kept and never learnt from. Further columns of any name aren't looked at. An empty table gives an empty one."""
+    features = cut(document_features(docs, id_col, text_col), "features")
+    return score_features(features, fit(features, labels, label_col))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score under ``threshold``; same columns. Only scores are written, no text is moved."""
+    docs, file, row = located(docs)
+    scored = score_documents(docs, labels, text_col=text_col)
+    return without_rows(docs, file, row, scored.filter(F.col("score") < threshold))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = cut(document_features(table(spark, sf_dir, "documents")), "features")
-    model = fit(features, table(spark, sf_dir, "labels"))
-    scored = score_features(features, model)
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -234,6 +234,51 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "x"] and kept.filter("doc_id < 300 and doc_id >= 0").count() == 300
     assert quality.keep_good(df.filter("false"), labels).count() == 0
     assert set(quality.score(quality.train(np.zeros((0, 25), np.float32), np.zeros(0)), np.zeros((2, 25)))) == {0.5}
+    assert {r["score"] for r in quality.score_documents(df, labels.filter("false")).collect()} == {0.5}
+
+
+def test_quality_learns_from_a_bounded_part(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(7, "again"), (7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(7, 0), (8, 1)], "doc_id long, quality int")
+    features = quality.document_features(docs)
+    x, y = quality.training_rows(features, labels)
+    assert len(x) == len(y) == features.filter(~quality.held_out()).count() and x.shape[1] == len(quality.FEATURES)
+    some, _ = quality.training_rows(features, labels, max_rows=100)
+    assert 50 < len(some) <= 100
+
+
+def test_trees_against_a_naive_search(monkeypatch):
+    """Two trees of depth 2, each split found by trying every feature and every cut on the rows themselves."""
+    for name, value in (("TREES", 2), ("DEPTH", 2), ("BINS", 8)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 4)).astype(np.float32)
+    y = ((x[:, 1] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1])) for j in range(4)]
+    margin = np.full(300, np.log((y.sum() + 1) / (300 - y.sum() + 1)))
+
+    def part(g, h):
+        return g.sum() ** 2 / (h.sum() + quality.RIDGE)
+
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = p - y, p * (1 - p)
+
+        def grow(rows, depth, grad=grad, hess=hess):
+            if not depth:
+                return [(rows, -quality.RATE * grad[rows].sum() / (hess[rows].sum() + quality.RIDGE))]
+            best = (1e-6, rows, rows[:0])
+            for j in range(4):
+                for c in cuts[j]:
+                    low, high = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                    if hess[low].sum() >= quality.MIN_WEIGHT and hess[high].sum() >= quality.MIN_WEIGHT:
+                        gain = part(grad[low], hess[low]) + part(grad[high], hess[high]) - part(grad[rows], hess[rows])
+                        best = max(best, (gain, low, high), key=lambda b: b[0])
+            return grow(best[1], depth - 1) + grow(best[2], depth - 1)
+
+        for rows, value in grow(np.arange(300), 2):
+            margin[rows] += value
+    assert np.allclose(quality.score(quality.train(x, y), x), 1 / (1 + np.exp(-margin)))
 
 
 class PlainModel:
