@@ -7,9 +7,10 @@ those prefixes are shuffled by shingle, and shingles that only one node has fall
 First every node is compared with two hubs of its groups, which joins groups of copies in linear work. What is left are
 pairs of nodes in one group but in different components so far: the groups are cut into tiles by size band, and in a tile
 the nodes' hashed bitmaps are compared; bits that differ bound the overlap from above. Pairs that pass are settled by
-intersecting the sorted shingle arrays. In the first turns a tile gives only as many pairs as span what could be linked, so
-that large groups of copies become components in linear work; a last turn gives every pair that is still between two
-components. No pair within a component needs to be looked at, and no other is skipped.
+intersecting the sorted shingle arrays. A small tile gives all its pairs at once. Of a larger one the first turns take only
+as many pairs as span what could be linked, so that large groups of copies become components in linear work; a last turn
+gives every pair that is still between two components. No pair within a component needs to be looked at, and no other is
+skipped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkgauge.llm.common import cut, table, worker_cache
+from sparkgauge.llm.common import BITMAP_BITS, cut, located, settled, table, without_rows, worker_cache
 from sparkgauge.llm.exact_dedup import _occurs_once, _with_flag
 from sparkgauge.llm.graph import components
 
@@ -32,10 +33,14 @@ from sparkgauge.llm.graph import components
 SHINGLE, PERCENT = 5, 80
 #: log2 of the buckets in which shingles are counted: 4 MB, whatever the input's size.
 SKETCH_BITS = 20
+#: log2 of the bits in the bitmap of shared prefix keys: 16 MB, whatever the input's size.
+ASKED_BITS = 27
 #: A task reports the buckets that it met this often, and this many times as often as the mean.
 SKETCH_LEAST, SKETCH_TIMES = 8, 4
 #: Rows in a tile, and the ratio of sizes in a band: nodes that are alike are in the same band or in neighbouring ones.
 TILE, BAND = 1024, 100 / PERCENT
+#: Rows up to which a tile gives all its pairs in the first turn.
+SMALL = 64
 #: Turns in which a tile gives a forest of its pairs, before it gives all that are then left.
 FOREST_TURNS = 2
 #: Words whose hashes a Python worker remembers.
@@ -75,8 +80,8 @@ def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
 
 def bitmap_of(own: np.ndarray) -> np.ndarray:
     """The set's hashed bitmap: a bit is set if an odd number of shingles fall on it, so that differing bits of two sets
-    never outnumber their differing shingles. Four to eight bits a shingle, 128 at least."""
-    bits = 1 << max(7, (4 * len(own) - 1).bit_length())
+    never outnumber their differing shingles. One or two bits a shingle, 128 at least."""
+    bits = 1 << max(7, (len(own) - 1).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
@@ -101,34 +106,30 @@ def _signed(h: int) -> int:
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(at, id, n, node, bitmap, shingles): a row per row of ``docs``. ``at`` is the row's place, ``node`` a 64-bit hash of
-    the set, null for an empty one; a task gives the bitmap and shingles of a node once only."""
+    """(id, file, row, n, node, shingles): a row per row of ``docs``. ``file`` and ``row`` are its place, ``node`` is a 64-bit
+    hash of the set, null for an empty one; a task gives the shingles of a node once only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _kept_hashes(), set()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                sizes, nodes, maps, sets = [], [], [], []
-                for text in batch.column(1).cast(pa.binary()):
+                sizes, nodes, sets = [], [], []
+                for text in batch.column(3).cast(pa.binary()):
                     own = shingle_set(text.as_py(), hashes)
                     data = own.tobytes()
                     node = _signed(xxhash.xxh3_64_intdigest(data)) if len(own) else None
                     sizes.append(len(own))
                     nodes.append(node)
-                    known = node is None or node in seen
-                    maps.append(None if known else bitmap_of(own).tobytes())
-                    sets.append(None if known else data)
+                    sets.append(None if node is None or node in seen else data)
                     seen.add(node)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(sets, pa.binary())],
-                    ["id", "at", "n", "node", "bitmap", "shingles"],
-                )
+                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "file", "row", "n", "node", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at")).mapInArrow(
-        run, f"id {kind}, at long, n long, node long, bitmap binary, shingles binary"
-    )
+    docs, file, row = located(docs)
+    rows = docs.select(F.col(id_col).alias("id"), file.alias("file"), row.alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, file long, row long, n long, node long, shingles binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -154,8 +155,9 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return counts
 
 
-def _prefixes(sets: DataFrame, counts) -> DataFrame:
-    """(key, node, n): the shingles of each node's prefix. ``counts`` is the broadcast sketch."""
+def _prefixes(sets: DataFrame, counts, asked=None) -> DataFrame:
+    """(key, node, n): the shingles of each node's prefix; of those, if ``asked`` is given, the ones whose bit is set there.
+    ``counts`` is the broadcast sketch, ``asked`` a broadcast bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
@@ -168,9 +170,13 @@ def _prefixes(sets: DataFrame, counts) -> DataFrame:
                     n = len(own)
                     first = n - -(-n * PERCENT // 100) + 1
                     rank = often[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    keys.append(own[np.lexsort((own, rank))[:first]])
-                    nodes.append(np.full(first, node, np.int64))
-                    sizes.append(np.full(first, n, np.int32))
+                    kept = own[np.lexsort((own, rank))[:first]]
+                    if asked is not None:
+                        spot = (kept & np.uint64((1 << ASKED_BITS) - 1)).astype(np.int64)
+                        kept = kept[(asked.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0]
+                    keys.append(kept)
+                    nodes.append(np.full(len(kept), node, np.int64))
+                    sizes.append(np.full(len(kept), n, np.int32))
                 if keys:
                     columns = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n"])
@@ -178,6 +184,26 @@ def _prefixes(sets: DataFrame, counts) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int")
 
 
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """The bitmap of the keys' low bits as bytes."""
+    found = np.zeros(1 << (ASKED_BITS - 3), np.uint8)
+    size = BITMAP_BITS // 8
+    for r in _occurs_once(keys, "key", ASKED_BITS).toLocalIterator():
+        found[r["_part"] * size : (r["_part"] + 1) * size] = np.frombuffer(r["_bitmap"], np.uint8)
+    return found
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, n, bitmap) for the rows of ``sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [bitmap_of(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(maps, pa.binary())], ["node", "n", "bitmap"])
+
+    return sets.select("node", "n", "shingles").mapInArrow(run, "node long, n long, bitmap binary")
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted distinct arrays are linked, by their exact intersection."""
     if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
@@ -243,29 +269,34 @@ def _and_end(batches: Iterator) -> Iterator:
 
 
 def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, bitmap) that differ
-    in ``comp``, could be alike by size, and whose bitmaps allow the overlap: with a ``turn`` a forest of them, which spans
-    what they join and has fewer pairs than the tile has rows (turns differ in which pairs they take), without one all.
-    Tiles come one after the other in the sorted rows of a partition; one of them is held at a time."""
+    """(a, b, key, band): pairs, a < b, in each tile (columns key, band, low, high; rows node, n, comp, chunk, home, bitmap) that differ
+    in ``comp``, could be alike by size, and whose bitmaps allow the overlap. A small tile gives all of them; a larger one,
+    with a ``turn``, a forest, which spans what they join and has fewer pairs than the tile has rows (turns differ in which
+    pairs they take). ``key`` and ``band`` say where a pair was found. Tiles come one after the other in the sorted rows of a partition; one of them is held at a time."""
     tile = ["key", "band", "low", "high"]
 
     def pairs_in(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
         node, n, comp, chunk, home, low, high = (rows.column(c).to_numpy() for c in ("node", "n", "comp", "chunk", "home", "low", "high"))
         maps = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("bitmap")]
-        words = min(map(len, maps))
-        maps = np.stack([folded(x, words) for x in maps])
+        wide = np.array([len(x) for x in maps])
+        folds = {w: np.stack([folded(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in maps]) for w in set(wide.tolist())}
+        n = n.astype(np.int64)
         a_out, b_out = [], []
         place, root = np.arange(len(node)), comp.copy()
         rows_of = np.flatnonzero(chunk == low[0])
-        for i in rows_of[::-1] if turn and turn % 2 else rows_of:
-            other = (chunk == high[0]) & (root != root[i]) & ((home | home[i]) > 0)
-            if low[0] == high[0] and turn is None:
+        forest = turn is not None and len(node) > SMALL
+        for i in rows_of[::-1] if forest and turn % 2 else rows_of:
+            other = (chunk == high[0]) & (root != root[i]) & ((home | home[i]) > 0) & could_be_alike(n, n[i], 0)
+            if low[0] == high[0] and not forest:
                 other &= place > i
             j = np.flatnonzero(other)
             if len(j):
-                differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-                j = j[could_be_alike(n[j].astype(np.int64), np.int64(n[i]), differ)]
-                if turn is not None:
+                differ, least = np.empty(len(j), np.int64), np.minimum(wide[j], wide[i])
+                for w in set(least.tolist()):  # in as many bits as the smaller of two has
+                    own = least == w
+                    differ[own] = np.bitwise_count(folds[w][j[own]] ^ folds[w][i]).sum(1, dtype=np.int64)
+                j = j[could_be_alike(n[j], n[i], differ)]
+                if forest:
                     taken = []
                     while len(j):
                         taken.append(j[-1 if turn % 2 else 0])
@@ -287,77 +318,92 @@ def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
             keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in tile])
             starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(rows)]
             done = len(starts) - 1 if batch is None else len(starts) - 2  # the last tile may go on in the next batch
-            a_out, b_out = [], []
+            found = []
             for start, end in zip(starts[:done], starts[1 : done + 1], strict=True):
                 if end - start > 1:
-                    a, b = pairs_in(rows.slice(start, end - start))
-                    a_out += a
-                    b_out += b
+                    for a, b in zip(*pairs_in(rows.slice(start, end - start)), strict=True):
+                        found.append((a, b, *[np.full(len(a), k) for k in keys[:2, start]]))
             held = rows.slice(starts[done])
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a_out, b_out)], ["a", "b"])
+            if found:
+                columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.int32())], ["a", "b", "key", "band"])
 
     dealt = tiles.repartition(*tile).sortWithinPartitions(*tile)
-    return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(run, "a long, b long")
+    return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(run, "a long, b long, key long, band int")
+
 
+def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame, turn: int | None, places: DataFrame | None) -> DataFrame:
+    """(a, b, key, band): pairs of nodes that share a key of ``groups`` (key, node, n, size) but not a component of ``comps``
+    (node, comp), and that bitmaps don't rule out: all of them, or in a ``turn`` a forest in each tile that isn't small.
 
-def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame, turn: int | None) -> DataFrame | None:
-    """Pairs of nodes that share a key of ``groups`` (key, node, n) but not a component of ``comps`` (node, comp), and that
-    bitmaps don't rule out: all of them, or in a ``turn`` a forest in each tile."""
-    with_comp = cut(groups.join(comps, "node"), "group-comps")
-    open_keys = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rows = cut(with_comp.join(cut(open_keys, "open-keys"), "key"), "open-groups")
-    if not rows.limit(1).count():
-        return None
+    A small group is one tile, and turn 0 does it. Of the large ones, later turns only look at the ``places`` (key, band) in
+    which turn 0 found pairs: where it found none there is none."""
+    if turn != 0:
+        groups = groups.filter(F.col("size") > SMALL).join(places.select("key").distinct(), "key")
+    rows = groups.select("key", "node", "n", "size").join(comps, "node")
+    rows = cut(rows, "group-comps")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND) + 1e-9).cast("int")
-    homed = rows.withColumn("band", band)
+    homed = rows.filter(F.col("size") > SMALL).drop("size").withColumn("band", band)
     banded = homed.withColumn("home", F.lit(1)).unionByName(homed.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(0)))
+    if turn != 0:
+        banded = banded.join(places, ["key", "band"])
     spans = banded.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("rows"), F.max("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     spans = spans.filter("homes = 1 and lo < hi").select("key", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("chunks"))
     dealt = banded.join(cut(spans, "spans"), ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-    return _tile_pairs(tiled.join(nodes.select("node", "bitmap"), "node"), turn).distinct()
+    tiled = tiled.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("chunks", "other")
+    if turn == 0:
+        whole = {"band": -1, "home": 1, "chunk": 0, "low": 0, "high": 0}
+        tiled = tiled.unionByName(rows.filter(F.col("size") <= SMALL).drop("size").withColumns({k: F.lit(v) for k, v in whole.items()}))
+    return _tile_pairs(tiled.join(nodes.select("node", "bitmap"), "node"), turn)
 
 
-def _groups(prefixes: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that two nodes share or more; of keys with the same nodes, one."""
-    order = W.partitionBy("key").orderBy("node")
-    near = prefixes.select("key", "node", "n", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
-    shared = cut(near.filter("before is not null or after is not null").select("key", "node", "n"), "shared-keys")
-    # Two sums of hashes say which nodes a key has.
-    told = [F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
-    alike = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told)
-    kept = cut(alike.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "kept-keys")
-    return cut(shared.join(kept, "key"), "groups")
+def _groups(sets: DataFrame) -> DataFrame:
+    """(key, node, n, size, low, high) of the keys that ``size`` nodes from low to high share, two or more; of keys with the
+    same nodes, one.
+
+    Which keys are shared is found by an aggregate, in which no hot key meets in one task; a bitmap of them then stops most
+    other keys where they are made."""
+    spark = sets.sparkSession
+    sketch = spark.sparkContext.broadcast(_sketch(sets))
+    ends = _prefixes(sets, sketch).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    asked = spark.sparkContext.broadcast(_bits_of(cut(ends.filter("low < high").select("key"), "shared-keys")))
+    shared = cut(_prefixes(sets, sketch, asked).distinct(), "shared-rows")
+    # Their number, least, greatest and sum (without carry) of hashes say which nodes a key has.
+    told = [F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum")]
+    alike = shared.groupBy("key").agg(*told).filter("size > 1")
+    kept = alike.groupBy("size", "low", "high", "sum").agg(F.min("key").alias("key"))
+    kept = cut(kept.select("key", "size", "low", "high"), "kept-keys")
+    likely = _with_flag(shared, F.col("key"), _occurs_once(kept, "key"), "_kept").filter("_kept").drop("_kept")
+    return cut(likely.join(kept, "key"), "groups")
 
 
 def similar_groups(shingled: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of ``shingled`` (a table that shingle_table() made) that share a key with another one."""
-    spark = shingled.sparkSession
     sets = shingled.filter("shingles is not null")
-    sketch = spark.sparkContext.broadcast(_sketch(sets))
-    groups = _groups(_prefixes(sets, sketch).distinct())
+    groups = _groups(sets)
     shared = cut(groups.select("node").distinct(), "shared-nodes")
-    nodes = cut(sets.select("node", "n", "bitmap").join(shared, "node", "left_semi").dropDuplicates(["node"]), "nodes")
-    ends = cut(groups.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")), "key-hubs")
-    hubs = groups.join(ends, "key").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    nodes = cut(_bitmaps(sets).join(shared, "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    hubs = groups.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = hubs.select(F.explode(F.array("low", "high")).alias("hub"), "node").filter("hub <> node")
     pairs = cut(pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "hub-pairs")
     roots = components(cut(_checked(pairs, nodes, sets), "hub-links"))
     comps = shared.join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("comp"))
     comps = cut(comps, "comps")
+    places = None
     for turn in (*range(FOREST_TURNS), None):
-        more = _residual_pairs(groups, comps, nodes, turn)
-        if more is None:
-            break
-        more = cut(more, "tile-pairs")
+        found = cut(_residual_pairs(groups, comps, nodes, turn, places), "tile-pairs")
+        if turn == 0:
+            places = cut(found.filter("band >= 0").select("key", "band").distinct(), "tile-places")
+        more = cut(found.select("a", "b").distinct(), "more-pairs")
         asked = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         more = cut(_verified(more, cut(_sets_of(sets, asked), "pair-sets")), "more-links")
-        if more.limit(1).count():
+        if not more.isEmpty():
             comps = cut(_joined(comps, more), "comps")
+        if places.isEmpty():
+            break
     return comps
 
 
@@ -376,35 +422,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two rows are linked when their sets of 5-word shingles (words are runs of anything but ASCII white space, A-Z
     lower-cased; a text of fewer words is one shingle) have a Jaccard similarity of 0.8 or more; ``component_id`` is the
     smallest id that a row reaches by links. Null and empty texts have no shingles and stay alone. A null id is never a
-    component's id, unless all of the component's are null; repeated rows link with each other. Sets are sets of 64-bit
+    component's id, unless all of the component's are null; repeated rows link with each other. Texts of any length are read
+    whole, further columns of any name aren't looked at, and an empty table gives an empty one. Sets are sets of 64-bit
     hashes, and equal sets are known by a 64-bit hash.
     """
-    return _placed(cut(shingle_table(docs, id_col, text_col), "shingles")).drop("at")
+    return _placed(docs, id_col, text_col).drop("file", "row")
 
 
-def _placed(shingled: DataFrame) -> DataFrame:
-    """(id, at, n_shingles, component_id) for each row of the table that shingle_table() made."""
+@settled("components")
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, file, row, n_shingles, component_id) for each row of ``docs``."""
+    shingled = cut(shingle_table(docs, id_col, text_col), "shingles")
     classes = shingled.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"))
     comps = similar_groups(shingled)
     known = cut(classes.join(comps, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp")), "classes")
     tops = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     homes = cut(known.join(cut(tops, "component-ids"), "comp").select("node", "component_id"), "node-components")
-    empty = shingled.filter("node is null").select("id", "at", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    rest = shingled.filter("node is not null").join(homes, "node").select("id", "at", F.col("n").alias("n_shingles"), "component_id")
+    own = ["id", "file", "row"]
+    empty = shingled.filter("node is null").select(*own, F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+    rest = shingled.filter("node is not null").join(homes, "node").select(*own, F.col("n").alias("n_shingles"), "component_id")
     return rest.unionByName(empty)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, the first in the table);
-    rows without shingles all stay, and so does a component without an id. ``docs`` must give its rows in the same order
-    when read again, as a table does."""
-    placed = cut(_placed(cut(shingle_table(docs, id_col, text_col), "shingles")), "components")
-    linked = placed.filter("n_shingles > 0 and component_id is not null")
-    first = linked.groupBy("component_id").agg(F.min(F.when(F.col("id") == F.col("component_id"), F.col("at"))).alias("keep"))
-    stay = linked.join(cut(first.select("component_id", "keep"), "component-heads"), "component_id").filter(F.col("at") != F.col("keep"))
-    gone = cut(stay.select(F.col("at").alias("_gone")), "dropped")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("_at"))
-    return rows.join(gone, F.col("_at") == F.col("_gone"), "left_anti").select("row.*")
+    """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, the one whose place in the
+    stored table comes first); rows without shingles all stay, and so does a component without an id. Same columns."""
+    docs, file, row = located(docs)
+    linked = _placed(docs, id_col, text_col).filter("n_shingles > 0 and component_id is not null")
+    first = linked.groupBy("component_id").agg(F.min(F.when(F.col("id") == F.col("component_id"), F.struct("file", "row"))).alias("keep"))
+    gone = linked.join(first, "component_id").filter(F.struct("file", "row") != F.col("keep")).select("file", "row")
+    return without_rows(docs, file, row, gone)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
