@@ -172,19 +172,22 @@ def reports_security_preset(spark, sf_dir):
     return _reports(spark, sf_dir, preset="security").select("doc_id", "overall_score", "capped_from")
 
 
+# Outer explodes: before an inner one Spark filters by the array's size, and would push the whole report through that filter.
+
+
 def axis_scores(spark, sf_dir):
-    rows = _reports(spark, sf_dir).select("doc_id", F.explode("axis_scores").alias("a"))
+    rows = _reports(spark, sf_dir).select("doc_id", F.explode_outer("axis_scores").alias("a"))
     return rows.select("doc_id", "a.axis", "a.score", "a.check_count", "a.total_checks", "a.color")
 
 
 def check_scores(spark, sf_dir):
-    rows = _reports(spark, sf_dir).select("doc_id", F.explode("check_scores").alias("c"))
+    rows = _reports(spark, sf_dir).select("doc_id", F.explode_outer("check_scores").alias("c"))
     return rows.select("doc_id", "c.check_id", "c.applicable", "c.score")
 
 
 def top_fixes(spark, sf_dir):
-    rows = _reports(spark, sf_dir).select("doc_id", F.posexplode(F.slice("fixes", 1, 3)).alias("place", "f"))
-    return rows.select("doc_id", "place", "f.check_id", "f.impact")
+    rows = _reports(spark, sf_dir).select("doc_id", F.posexplode_outer(F.slice("fixes", 1, 3)).alias("place", "f"))
+    return rows.filter("place is not null").select("doc_id", "place", "f.check_id", "f.impact")
 
 
 def grades_by_source(spark, sf_dir):
