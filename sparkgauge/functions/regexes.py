@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 #: What ECMAScript counts as white space, as the inside of a Java character class.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS, NOT_WS = f"[{SPACE}]", f"[^{SPACE}]"
@@ -112,11 +116,17 @@ def glob_regex(glob: str) -> str:
 
 
 def problem_with(pattern: str, flags: str | None) -> str | None:
-    """Why an ECMAScript pattern isn't valid; None if it is. Judged without a session, by Python's engine, which has the
-    same syntax but for what is rewritten here."""
+    """Why an ECMAScript pattern isn't valid; None if it is. Judged by what will run, the translation in Java's engine, where
+    there is a session; without one by Python's engine, which has the same syntax but for what is rewritten here."""
     flags = flags or ""
     if set(flags) - set("dgimsuvy") or len(set(flags)) != len(flags):
         return f"Invalid flags supplied to RegExp constructor '{flags}'"
+    if (context := SparkContext._active_spark_context) is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java_regex(pattern, flags))
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            return f"Invalid regular expression: /{pattern}/: {' '.join(str(e).split())}"
+        return None
     try:
         re.compile(re.sub(r"\\[pP]\{[^}]*\}", "a", re.sub(r"\(\?<([A-Za-z_$][\w$]*)>", r"(?P<\1>", pattern)))
     except re.error as e:

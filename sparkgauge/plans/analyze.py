@@ -35,9 +35,10 @@ def file_kind(path: Column, criteria: dict) -> Column:
 
 
 def gather_findings(findings: DataFrame, path: str = "path") -> DataFrame:
-    """(path, ai_findings): the findings of each path as an array. A finding that comes later (by the column ``ord``, if
-    there is one) stands later; of several for one check the last counts."""
-    order = F.col("ord") if "ord" in findings.columns else F.lit(0)
+    """(path, ai_findings): the findings of each path as an array. A finding that comes later (by the column ``ord``, or
+    without one in the table) stands later; of several for one check the last counts."""
+    findings = findings if "ord" in findings.columns else findings.withColumn("ord", F.monotonically_increasing_id())
+    order = F.col("ord")
     one = F.struct(
         order.alias("ord"), "check_id", F.col("score").cast("double").alias("score"),
         (F.col("rationale") if "rationale" in findings.columns else F.lit(None)).cast("string").alias("rationale"),

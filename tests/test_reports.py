@@ -20,7 +20,7 @@ FINDINGS = {
     "completeness.scope-statement": 80.0,
     "completeness.output-constraint-sensible": 75.0,
 }
-# overall by preset (balanced, cost, security), what it was capped from, and the axes in their order
+# Worked out by hand: overall by preset (balanced, cost, security), what it was capped from, and the axes in their order.
 EXPECTED = {
     ("example.instructions.md", False): ((77, 79, 84), (None,) * 3, (100, 100, 16, 70, 100)),
     ("example.instructions.md", True): ((80, 80, 86), (None,) * 3, (90, 100, 42, 70, 100)),
@@ -76,8 +76,8 @@ def test_kinds_grades_and_fixes(reports):
 def test_blocker_evidence_is_redacted(reports):
     blockers = reports["blocker.instructions.md", False, 0]["blockers"]
     assert [(b["check_id"], [tuple(e) for e in b["evidence"]]) for b in blockers] == [
-        ("security.secrets", [(17, "ging key: AKIA************ ## Context The staging dash", "AWS access key id")]),
-        ("security.internal-hosts", [(21, "lives at inte*********.local and is only reachable from the", "Internal hostname")]),
+        ("security.secrets", [(17, "key, use AKIA************ until the new one is there.", "cloud access key")]),
+        ("security.internal-hosts", [(21, "served by feed*******.lan and by nothing else. Ask the owner", "host name of a private domain")]),
     ]
 
 

@@ -106,20 +106,20 @@ def test_measures(spark):
 @pytest.mark.parametrize(
     ("change", "message"),
     [
-        (lambda c: c.update(defaultPreset="x"), 'defaultPreset: "x" does not exist in presets'),
-        (lambda c: c.update(defaultFileKind="x"), 'defaultFileKind: "x" is not a defined file kind'),
-        (lambda c: c["checks"].append(c["checks"][0]), 'duplicate check id "cost.file-length"'),
-        (lambda c: c["checks"][0].pop("measure"), 'mechanical check "cost.file-length" has no measure'),
-        (lambda c: c["checks"][0].update(requires=["x"]), 'requires unknown check "x"'),
-        (lambda c: c["checks"][0].update(scoring={"type": "ai"}), 'cannot use scoring type "ai"'),
-        (lambda c: c["checks"][0].update(scoring={"type": "bands", "bands": [{"upTo": 2, "score": 1}, {"upTo": 1, "score": 1}, {"upTo": None, "score": 0}]}), "strictly ascending"),
-        (lambda c: c["checks"][0].update(scoring={"type": "bands", "bands": [{"upTo": 2, "score": 1}]}), "last band must be open ended"),
-        (lambda c: c["checks"][0]["overrides"]["repo-wide"].update(mode="ai"), 'must not set "mode"'),
+        (lambda c: c.update(defaultPreset="x"), 'defaultPreset: "x" is no preset here'),
+        (lambda c: c.update(defaultFileKind="x"), 'defaultFileKind: "x" is no kind of file here'),
+        (lambda c: c["checks"].append(c["checks"][0]), '"cost.file-length" is there already'),
+        (lambda c: c["checks"][0].pop("measure"), '"cost.file-length" says nothing to measure'),
+        (lambda c: c["checks"][0].update(requires=["x"]), 'depends on "x", which is not there'),
+        (lambda c: c["checks"][0].update(scoring={"type": "ai"}), 'can not be scored by "ai"'),
+        (lambda c: c["checks"][0].update(scoring={"type": "bands", "bands": [{"upTo": 2, "score": 1}, {"upTo": 1, "score": 1}, {"upTo": None, "score": 0}]}), "limits do not rise"),
+        (lambda c: c["checks"][0].update(scoring={"type": "bands", "bands": [{"upTo": 2, "score": 1}]}), "no band for all larger values"),
+        (lambda c: c["checks"][0]["overrides"]["repo-wide"].update(mode="ai"), 'can not change its "mode"'),
         (lambda c: c["checks"][0].update(weight="high"), "checks.0.weight: expected number"),
-        (lambda c: c["checks"][0]["measure"].update(type="x"), 'uses unimplemented measure "x"'),
+        (lambda c: c["checks"][0]["measure"].update(type="x"), 'needs the measure "x"'),
         (lambda c: c["presets"]["cost"]["weights"].pop("cost"), "presets.cost.weights.cost: is missing"),
-        (lambda c: c["sets"]["patterns"]["pii"][0].update(re="("), "is not a valid regular expression"),
-        (lambda c: c["security"].update(redactWith=["x"]), 'unknown pattern set "x"'),
+        (lambda c: c["sets"]["patterns"]["pii"][0].update(re="("), "can not be compiled"),
+        (lambda c: c["security"].update(redactWith=["x"]), 'the pattern set "x" is not there'),
     ],
 )
 def test_criteria_problems(change, message):
@@ -166,8 +166,8 @@ def test_asking_a_model():
     assert [f["checkId"] for f in ask(good)["findings"]] == [c["id"] for c in checks]
     retried = ask(L.Answer({"findings": [{"checkId": 1}]}, 5, 6), L.Answer(good, 1, 2))
     assert len(retried["findings"]) == 2 and retried["usage"] == (6, 8)
-    assert "missing " + checks[1]["id"] in ask(part, part)["error"]
-    assert ask(RuntimeError("boom"))["error"] == "AI checks failed: boom"
+    assert "lacked findings for " + checks[1]["id"] in ask(part, part)["error"]
+    assert ask(RuntimeError("boom"))["error"] == "the provider failed: boom"
     assert ask(ValueError("bad json"), good)["error"] is None
     assert L.ask(None, "t", "k", checks, "")["error"] and L.ask(None, "t", "k", [], "")["error"] is None
 
