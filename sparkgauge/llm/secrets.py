@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import table, worker_cache
+from sparkgauge.llm.common import settled, table, worker_cache
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,8 +34,6 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 #: What divides an identifier or a path into its parts; parts up to SHORT_PART are too short to be judged.
 DELIMITERS = re.compile(r"[+/_=-]+")
 SHORT_PART = 2
-#: Characters that are given to the tokenizer at once: its time grows with the square of a run without any break.
-TOKENIZED = 512
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -47,7 +45,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def tokens(run: str, encoding) -> int:
-    return sum(len(encoding.encode_ordinary(run[i : i + TOKENIZED])) for i in range(0, len(run), TOKENIZED))
+    """Tokens of a whole run, however long."""
+    return len(encoding.encode_ordinary(run))
 
 
 def excluded(run: str, encoding) -> bool:
@@ -71,11 +70,9 @@ def random_spans(text: str, encoding, taken: list[tuple[str, int, int]]) -> list
         start, end = m.span()
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if excluded(m[0], encoding):
-            continue
         if at < len(covered) and covered[at][0] < end:
             continue
-        if len(m[0]) < MIN_RATIO * tokens(m[0], encoding):
+        if len(m[0]) < MIN_RATIO * tokens(m[0], encoding) and not excluded(m[0], encoding):
             found.append(("random", start, end))
     return found
 
@@ -96,9 +93,11 @@ def _encoding(path: str, pattern: str):
     return kept[path]
 
 
+@settled("secrets")
 def scan_secrets(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): one row per row of ``docs``; spans is an array of (kind, start, end) in code points of the whole
-    text, by start and then kind. A null or empty text has none; repeated rows and null ids are rows like others."""
+    text, by start and then kind. A null or empty text has none; repeated rows and null ids are rows like others, texts and
+    runs of any length are read whole, further columns of any name aren't looked at, and an empty table gives an empty one."""
     import public_tokenizers
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -484,5 +484,76 @@ def test_pipeline(spark, tmp_path):
     assert 60 in found and 0 not in found and 1 in found and 61 not in found and 5 not in found and 30 in found
 
 
-def test_digest_of_turns(spark):
-    assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.encode(F.lit(""), "UTF-8"), 256).alias("x")).first()["x"]
+def plain_secrets(t):
+    """The fixed patterns, scanned character by character."""
+    import string
+
+    value, found = set(string.ascii_letters + string.digits + "+/_.=-"), []
+
+    def run(at, chars):
+        end = at
+        while end < len(t) and t[end] in chars:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c.isascii() else c for c in t[at : at + len(name)]) == name:
+                k = at + len(name)
+                k += t[k : k + 1] in ('"', "'") and k < len(t)
+                k = run(k, " ")
+                if t[k : k + 1] in (":", "=") and k < len(t):
+                    k = run(k + 1, " ")
+                    k += t[k : k + 1] in ('"', "'") and k < len(t)
+                    if (end := run(k, value)) > k:
+                        return k, end
+        return None
+
+    at = 0
+    while at < len(t):
+        if got := assign(at):
+            found += [("assign", at, got[1])] * (got[1] - got[0] >= 6)
+            at = got[1]
+        else:
+            at += 1
+    at = 0
+    while at < len(t):
+        end = run(at + 4, set(string.ascii_uppercase + string.digits)) if t.startswith("AKIA", at) else at
+        if end > at + 4:
+            found += [("access", at, end)] * (end - at >= 20)
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(t):
+        end = run(at, set("0123456789abcdef"))
+        found += [("hex", at, end)] * (end - at >= 24)
+        at = max(end, at + 1)
+    return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_secrets_against_a_plain_scan(spark, tmp_path):
+    rng = random.Random(21)
+    parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "APIKEY", '"', "'", " ", ":", "=", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef01", "é", "abc", "x/y", "\n", "0" * 12, "_", "ſecret", "K"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 60)))) for i in range(400)]
+    rows += [(400, "deadbeef" * 20000), (401, "Zq9" * 20000), (402, None), (402, None), (None, "token=abcdef12")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, spans int, kind int, start int, n_hex int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = secrets.op10_secrets(spark, str(tmp_path)).collect()
+
+    def told(spans):
+        return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+    want = Counter()
+    for i, t in rows:
+        spans = plain_secrets(t or "")
+        n = Counter(k for k, _, _ in spans)
+        want[i, n["assign"], n["access"], n["hex"], hashlib.sha256(told(spans).encode()).hexdigest()] += 1
+    assert Counter(tuple(r)[:5] for r in found) == want
+    for r in found:
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        base = [x for x in spans if x[0] != "random"]
+        assert hashlib.sha256(",".join(map(":".join, base)).encode()).hexdigest() == r["base_sha256"]
+        for kind, a, b in spans:  # method spans are runs that touch no base span
+            assert kind != "random" or all(int(y) <= int(a) or int(x) >= int(b) for _, x, y in base)
+    assert secrets.scan_secrets(df.filter("false")).count() == 0
