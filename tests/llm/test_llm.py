@@ -214,11 +214,39 @@ def test_shards(docs, rows):
     sizes = Counter()
     for r in found:
         sizes[r["shard"]] += r["size"]
-    assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) < 1.25 * min(sizes.values())
+    weights = Counter()
+    for i, t in rows:
+        weights[t or ""] += len((t or "").encode()) + 1
+    del weights[dict(rows)[115]]
+    mean = sum(weights.values()) / 4
+    assert set(sizes) == {0, 1, 2, 3} and max(abs(x - mean) for x in sizes.values()) <= max(weights.values())
     for s in range(4):
         assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
     assert sharding.kd_shards(empty(docs), shards=4).count() == 0
     assert {r["shard"] for r in sharding.kd_shards(docs, target_bytes=8000).collect()} <= set(range(9))
+    texts = {i: t or "" for i, t in rows}
+    for r in found:
+        if r["id"] is not None:
+            assert (r["size"], r["text_crc32"]) == (len(texts[r["id"]].encode()) + 1, zlib.crc32(texts[r["id"]].encode()))
+
+
+def test_shards_of_copies_and_long_texts(spark):
+    rng = random.Random(31)
+    rows = [(i, text(rng, rng.randint(1, 300))) for i in range(800)] + [(i, text(rng, 3000)) for i in range(800, 804)]
+    rows += [(1000 + 20 * g + k, f"copies of {g} " * rng.randint(1, 40)) for g in range(30) for k in range(20)]
+    rows = [(i, t) if i < 1000 else (i, rows[804 + (i - 1000) // 20 * 20][1]) for i, t in rows]
+    hot = "one text that very many rows have " * 5
+    rows += [(5000 + i, hot) for i in range(1500)] + [(5000, hot)] * 3
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, shard string, slot string, source string").repartition(5)
+    found = sharding.kd_shards(df, shards=8).collect()
+    assert Counter(r["id"] for r in found) == Counter(i for i, _ in rows)
+    own, sizes, homes = dict(rows), Counter(), {}
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        homes.setdefault(own[r["id"]], set()).add(r["shard"])
+    mean, heaviest = sum(sizes.values()) / 8, max(len(t) + 1 for t in own.values())
+    assert max(abs(x - mean) for x in sizes.values()) <= heaviest + 0.05 * mean
+    assert all(len(h) == 1 for t, h in homes.items() if t != hot) and len(homes[hot]) > 1
 
 
 def test_quality(spark):
