@@ -132,7 +132,7 @@ def decontaminate(
     names = docs.columns if carry is None else carry
     docs, file, place = located(docs)
     at = F.struct(file.alias("file"), place.alias("row"))
-    n_words = F.regexp_count(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD))
+    n_words = F.size(words_of(F.col(text_col)))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         n_words.cast("long").alias("n_words"),
