@@ -14,7 +14,11 @@ from pyspark.errors import IllegalArgumentException
 
 #: What ECMAScript counts as white space, as the inside of a Java character class.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-WS, NOT_WS = f"[{SPACE}]", f"[^{SPACE}]"
+#: The class itself; what lies beyond Latin-1 is behind one range, so that most characters are settled by two tests.
+WS = r"[\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]"
+NOT_WS = f"[^{SPACE}]"
+#: The same characters as a text.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _WORD = "A-Za-z0-9_"
 _EDGE = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 _NO_EDGE = f"(?:(?<![{_WORD}])(?![{_WORD}])|(?<=[{_WORD}])(?=[{_WORD}]))"

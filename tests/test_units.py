@@ -39,6 +39,14 @@ def test_regex_dialect(spark):
     assert count(R.java_regex("a"), "", "aA") == 1 and count("a", "i", "aA") == 2
 
 
+def test_white_space_is_the_same_everywhere(spark):
+    chars = [chr(c) for c in (*range(0x300), 0x1680, 0x180E, *range(0x1FFE, 0x2070), 0x2FFF, 0x3000, 0x3001, 0xFEFE, 0xFEFF, 0xFFFD)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    found = df.select("c", F.col("c").rlike(R.WS).alias("ws"), F.col("c").rlike(R.NOT_WS).alias("other"), (T.trim(F.col("c")) == "").alias("trimmed")).collect()
+    for r in found:
+        assert (r["ws"], r["other"], r["trimmed"]) == (r["c"] in R.SPACES, r["c"] not in R.SPACES, r["c"] in R.SPACES), r
+
+
 def test_globs_and_phrases():
     for glob, path, fits in (
         ("**/*.instructions.md", "a/b/c.instructions.md", True), ("**/*.instructions.md", ".x.instructions.md", True), ("*.md", "a/b.md", False),
