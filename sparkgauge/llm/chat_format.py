@@ -39,8 +39,9 @@ def format_chats(
     ``segments`` is an array of (piece, loss); the pieces concatenated are ``formatted``, and ``loss`` says whether a
     piece is learnt from: the texts of ``learn_from`` roles and nothing else, so marks and escaping of other roles never
     are. Turns are ordered by turn, then role and text; a null turn comes first, null roles and texts count as empty,
-    rows with a null conversation form one conversation, repeated rows are repeated turns. A conversation is one row of
-    output, so its turns meet in one task.
+    rows with a null conversation form one conversation, repeated rows are repeated turns, and turns with the same number are
+    ordered by role and text. A conversation is one row of output, so its turns, however many and long, meet in one task.
+    Further columns of any name aren't looked at; an empty table gives an empty one.
     """
     one = F.struct(
         F.col(turn_col).alias("turn"),

@@ -38,7 +38,7 @@ PRIOR = {2: 500.0, 3: 5.0}
 #: Tokens in a block (a longer document is a block by itself), n-grams in a range, and blocks that are read at once.
 BLOCK_TOKENS, RANGE_GRAMS, BLOCKS_READ = 1 << 20, 1 << 21, 8
 #: Words whose hashes a Python worker remembers.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 

@@ -44,7 +44,7 @@ SMALL = 64
 #: Turns in which a tile gives a forest of its pairs, before it gives all that are then left.
 FOREST_TURNS = 2
 #: Words whose hashes a Python worker remembers.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHINGLE + 1)]
 
 

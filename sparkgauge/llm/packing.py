@@ -194,7 +194,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and END_ID, in pieces of ``capacity``.
 
     Only the last piece may be shorter. A null text is like an empty one: one piece with END_ID alone. Repeated rows are
-    documents by themselves, null ids are kept.
+    documents by themselves, null ids are kept. Texts of any length are encoded whole; further columns of any name aren't
+    looked at; an empty table gives an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
@@ -230,7 +231,10 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. Reads them twice, so hand over a table and not its computation."""
+    """``pieces`` with ``sequence_id`` and ``offset``. Reads them twice, so hand over a table and not its computation.
+
+    Pieces of one length are placed in order of document, piece and checksum within hash buckets; of pieces that agree in all
+    of these either may come first. No pieces give no sequences."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     rows, _ = plan_packing(counts, capacity)

@@ -120,7 +120,8 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     A page that a rule fits has the rule's verdict; any other is blocked if the purity of its template is under
     MIN_PURITY. Labels are ``bad`` (1, 0 or null, by any columns of ``pages``), by default the rules' own verdicts. A
     template without labels has the prior's purity. A null url, or one without ``://``, has an empty host and path; null
-    ids and repeated rows are judged like others.
+    ids and repeated rows are judged like others, and each repeated row counts. Urls of any length are read whole; further
+    columns of any name aren't looked at; an empty table gives an empty one.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), (bad if bad is not None else F.lit(None)).cast("int").alias("_given"))

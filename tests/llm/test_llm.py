@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
+from sparkgauge.llm import chat_format, common, decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
 from sparkgauge.llm.graph import components
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups".split()
@@ -165,6 +165,46 @@ def test_chat_format(spark):
     assert [s["piece"].replace("\\", "") for s in one["segments"] if s["loss"]] == ["</s>[INST] ok [/INST]", ""]
 
 
+def test_chats_of_many_rows(spark):
+    turns = [(1, i, "user" if i % 3 else "assistant", f"t{i} " * 50) for i in range(3000)] + [(2, 1, "b", "y"), (2, 1, "a", "x"), (2, 1, "a", "x"), (2, None, "c", "z" * 100_000)]
+    df = spark.createDataFrame([(*t, 1, 2, 3) for t in turns], "conv_id long, turn long, role string, text string, conv int, turns int, segments int")
+    found = {r["conv"]: r for r in chat_format.format_chats(df).withColumn("read", chat_format.parse_chat(F.col("formatted"))).collect()}
+    assert [tuple(t) for t in found[1]["read"]] == [(r, t) for c, _, r, t in turns if c == 1] and found[1]["n_turns"] == 3000
+    assert [tuple(t) for t in found[2]["read"]] == [("c", "z" * 100_000), ("a", "x"), ("a", "x"), ("b", "y")]
+    assert chat_format.format_chats(df.filter("false")).count() == 0
+
+
+def test_urls_of_odd_tables(spark):
+    long = "http://x.org/" + "a/" * 30 + "b" * 50_000
+    rows = [(None, None), (1, long), (1, long), (2, "http://x.org/"), (2, "http://x.org/")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "page_id long, url string, path int, rule int, purity int, at int")
+    found = url_filter.judge_urls(df, bad=F.lit(None)).collect()
+    assert Counter((r["id"], len(r["path"]), r["verdict"]) for r in found) == {(None, 0, "allow"): 1, (1, 61 + 50_000, "allow"): 2, (2, 1, "allow"): 2}
+    assert url_filter.judge_urls(df.filter("false"), bad=F.lit(1)).count() == 0
+
+
+def test_places_don_t_depend_on_the_scan(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("row"), F.lit(1).alias("_metadata")).repartition(3).write.parquet(str(tmp_path / "t"))
+    table, file, row = common.located(spark.read.parquet(str(tmp_path / "t")).filter("doc_id >= 0"))
+    places = table.select("doc_id", file.alias("file"), row.alias("row"))
+    first = {tuple(r) for r in places.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert {tuple(r) for r in places.orderBy(F.rand()).collect()} == first and len({r[1:] for r in first}) == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    gone = places.filter("doc_id % 7 = 0").select("file", "row")
+    for broadcast in (0, 100):
+        kept = common.without_rows(table, file, row, gone, broadcast)
+        assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(3000) if i % 7}
+
+
+def test_tables_of_an_operator_are_deleted(spark, docs):
+    before = len(common._WRITTEN)
+    found = ngram_join.near_duplicates(docs)
+    assert len(common._WRITTEN) == before + 1 and found.count() == docs.count()  # the result alone
+
+
 def test_packing_plan():
     rng = random.Random(1)
     for _ in range(100):
@@ -508,6 +548,12 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(62, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, rows[5][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        clash = docs.withColumns({c: F.lit(1) for c in ("row", "file", "node", "at", "words", "x", "score", "_text", "gone")})
+        assert stage(spark, clash, str(tmp_path)).columns == clash.columns, name
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), str(tmp_path)).count() == 0
     found = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 60 in found and 0 not in found and 1 in found and 61 not in found and 5 not in found and 30 in found
 
