@@ -1,7 +1,8 @@
 """A cleaning pipeline over ``documents``: five stages, each an operator of sparkgauge.llm on all that the one before kept.
 
-Each stage is a function of (spark, docs, sf_dir); docs is a table. run() writes the result of each stage as Parquet and
-reads it again for the next. All stages but the last return the columns of docs.
+Each stage is a function of (spark, docs, sf_dir). run() writes the result of each stage as Parquet and reads it again for
+the next. All stages but the last return the columns of docs, whatever else there is beside doc_id and text and however it
+is named. An empty table gives an empty one. Null ids are rows like others; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from sparkgauge.llm.common import cut, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold go; null and empty texts are scored like others."""
+    """Documents that score under the threshold go, those on it stay; null and empty texts are scored like others, and repeated
+    rows alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with identical texts the one with the largest doc_id stays."""
+    """Of rows with identical texts the one with the largest doc_id stays, of rows with that id too the one that is stored last;
+    a null text is like an empty one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays."""
+    """Of each component of similar documents the one with the smallest doc_id stays, of rows that repeat it the one that is
+    stored first. Documents without words stay, and so does a component without any id."""
     return ngram_join.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go; without words, or without items, none does."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document: its place in the sequences."""
+    """A row per piece of a document: its place in the sequences. A null text is like an empty one, a piece of its end alone."""
     return packing.pack_documents(docs)
 
 
