@@ -63,7 +63,7 @@ def weighted_mean(pairs: list[tuple[float, Column, Column]]) -> Column:
 
 
 class KindScorer:
-    """The expressions for one kind of file, added to a DataFrame step by step so that none is repeated.
+    """The expressions for one kind of file, as columns to be added step by step so that none is repeated.
 
     ``outcome(check)`` gives (num, bool, evidence) of a mechanical check or None if it has none, ``finding(check)`` (score,
     evidence) of a model's finding, both as columns; a null num and bool, or score, is not applicable.
@@ -76,11 +76,12 @@ class KindScorer:
     def _name(self, check_id: str) -> str:
         return self.prefix + check_id.replace(".", "_").replace("-", "_")
 
-    def add_scores(self, df, outcome, finding):
-        """One column per check: (applicable, score). Requirements are added a level at a time."""
+    def score_steps(self, outcome, finding) -> list[dict[str, Column]]:
+        """One column per check, its score, in steps that only need those before: a level of requirements each."""
         level: dict[str, int] = {}
         for c in self.checks:
             level[c["id"]] = 0 if c["id"] in self.never else 1 + max([level[r] for r in c.get("requires", [])], default=-1)
+        steps = []
         for step in range(max(level.values(), default=0) + 1):
             new = {}
             for c in (c for c in self.checks if level[c["id"]] == step):
@@ -93,8 +94,8 @@ class KindScorer:
                 for required in c.get("requires", []) if c["id"] not in self.never else []:
                     met = met & (F.coalesce(F.col(self._name(required)), F.lit(-1.0)) == 100.0)
                 new[self._name(c["id"])] = F.when(met, score)
-            df = df.withColumns(new) if new else df
-        return df
+            steps.append(new)
+        return steps
 
     def score(self, check: dict) -> Column:
         return F.col(self._name(check["id"]))

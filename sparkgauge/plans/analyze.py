@@ -7,6 +7,7 @@ parser of YAML headers.
 from __future__ import annotations
 
 import json
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ REPORT = [
     "path", "tool", "criteria_version", "file_kind", "preset", "measurements", "ai_findings", "check_scores", "axis_scores", "overall_score",
     "capped_from", "grade", "blockers", "fixes", "failures", "ai_error", "usage",
 ]
+#: Sets of expressions that are remembered.
+REMEMBERED = 8
+_MADE: dict[tuple, tuple[list[dict[str, Column]], dict[str, Column]]] = {}
 
 
 def file_kind(path: Column, criteria: dict) -> Column:
@@ -79,6 +83,31 @@ def analyze(
     none = F.array().cast(f"array<{FINDING}>")
     df = df.withColumn("ai_findings", F.coalesce(F.col("given_ai_findings").cast(f"array<{FINDING}>"), none) if "given_ai_findings" in df.columns else none)
 
+    steps, told = _expressions(docs.sparkSession.sparkContext.applicationId, criteria, preset, kinds, evidence)
+    for step in steps:
+        df = df.withColumns(step)
+    told = told | {
+        "ai_error": (F.col("given_ai_error") if "ai_error" in given else F.lit(None)).cast("string"),
+        "usage": (F.col("given_usage") if "usage" in given else F.lit(None)).cast(USAGE),
+    }
+    return df.select(*[told.get(c, F.col(c)).alias(c) for c in REPORT], *[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)])
+
+
+def _expressions(application: str, criteria: dict, preset: str, kinds: list[str], evidence: bool) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+    """The columns to add to prepared documents, step by step, and those of the report by name.
+
+    They name columns only, so they fit any DataFrame; making them takes Python far longer than Spark takes to plan them, so
+    the last few sets are remembered."""
+    key = (application, json.dumps(criteria, sort_keys=True), preset, tuple(kinds), evidence)
+    if key not in _MADE:
+        made = _make_expressions(criteria, preset, kinds, evidence)
+        while len(_MADE) >= REMEMBERED:
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = made
+    return _MADE[key]
+
+
+def _make_expressions(criteria: dict, preset: str, kinds: list[str], evidence: bool) -> tuple[list[dict[str, Column]], dict[str, Column]]:
     # Each distinct measure once, whatever kinds and checks use it; one that can't be built fails for its checks alone.
     outcomes: dict[str, str] = {}
     failed: dict[str, str] = {}
@@ -102,7 +131,7 @@ def analyze(
                 columns |= {f"{name}_{part}": made[part] for part in ("num", "bool", "evidence") if evidence or part != "evidence"}
             except UnknownSet as e:
                 failed[key(check)] = str(e)
-    df = df.withColumns(columns) if columns else df
+    steps = [columns]
 
     def outcome(check: dict) -> dict[str, Column] | None:
         parts = ("num", "bool", "evidence") if evidence else ("num", "bool")
@@ -113,17 +142,19 @@ def analyze(
 
     secrets = [p for name in criteria["security"].get("redactWith", []) for p in criteria["sets"]["patterns"].get(name, [])]
     scorers = {kind: KindScorer(criteria, kind, f"k{i}_") for i, kind in enumerate(kinds)}
-    parts = {}
+    for level in zip_longest(*[s.score_steps(outcome, finding) for s in scorers.values()], fillvalue={}):
+        steps.append({name: column for own in level for name, column in own.items()})
+    parts, axes, checks, shown = {}, {}, {}, {}
     for i, (kind, scorer) in enumerate(scorers.items()):
-        df = scorer.add_scores(df, outcome, finding)
-        df = df.withColumns({f"a{i}": scorer.axis_scores(), f"c{i}": scorer.check_scores(outcome, finding, evidence)})
+        axes[f"a{i}"], checks[f"c{i}"] = scorer.axis_scores(), scorer.check_scores(outcome, finding, evidence)
         if evidence:
-            df = df.withColumn(f"c{i}", _redacted(F.col(f"c{i}"), secrets))
+            shown[f"c{i}"] = _redacted(F.col(f"c{i}"), secrets)
         parts[kind] = {
             "axis_scores": F.col(f"a{i}"), "check_scores": F.col(f"c{i}"), "overall": scorer.overall(f"a{i}", preset), "blocked": scorer.has_blocker(),
             "blockers": scorer.blockers(f"c{i}"), "fixes": scorer.fixes(f"c{i}"), "measurements": _measurements(criteria, kind, outcome, failed, key, evidence),
             "failures": _failures(criteria, kind, failed, key),
         }
+    steps += [axes | checks, shown]
 
     def by_kind(name: str) -> Column:
         found = parts[kinds[-1]][name]
@@ -131,22 +162,18 @@ def analyze(
             found = F.when(F.col("file_kind") == kind, parts[kind][name]).otherwise(found)
         return found
 
-    df = df.withColumns({f"r_{n}": by_kind(n) for n in ("axis_scores", "check_scores", "overall", "blocked", "blockers", "fixes", "measurements", "failures")})
+    steps.append({f"r_{n}": by_kind(n) for n in ("axis_scores", "check_scores", "overall", "blocked", "blockers", "fixes", "measurements", "failures")})
+    if evidence:
+        steps.append({"r_measurements": _redacted(F.col("r_measurements"), secrets)})
     cap = criteria["security"]["blockerCapsOverallAt"]
     capped = F.col("r_blocked") & (F.col("r_overall") > cap)
     score = F.when(capped, F.lit(cap).cast("int")).otherwise(F.col("r_overall"))
-    shown = _redacted(F.col("ai_findings"), secrets)
-    if evidence:
-        df = df.withColumn("r_measurements", _redacted(F.col("r_measurements"), secrets))
-    return df.select(
-        "path", F.lit(criteria["tool"]).alias("tool"), F.lit(criteria["criteriaVersion"]).alias("criteria_version"), "file_kind",
-        F.lit(preset).alias("preset"), F.col("r_measurements").alias("measurements"), shown.alias("ai_findings"), F.col("r_check_scores").alias("check_scores"),
-        F.col("r_axis_scores").alias("axis_scores"), score.alias("overall_score"), F.when(capped, F.col("r_overall")).alias("capped_from"),
-        F.struct(ladder(criteria, score, "label").alias("label"), ladder(criteria, score, "color").alias("color")).alias("grade"),
-        F.col("r_blockers").alias("blockers"), F.col("r_fixes").alias("fixes"), F.col("r_failures").alias("failures"),
-        (F.col("given_ai_error") if "ai_error" in given else F.lit(None)).cast("string").alias("ai_error"),
-        (F.col("given_usage") if "usage" in given else F.lit(None)).cast(USAGE).alias("usage"), *[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)],
-    )
+    told = {n: F.col(f"r_{n}") for n in ("measurements", "check_scores", "axis_scores", "blockers", "fixes", "failures")} | {
+        "tool": F.lit(criteria["tool"]), "criteria_version": F.lit(criteria["criteriaVersion"]), "preset": F.lit(preset),
+        "ai_findings": _redacted(F.col("ai_findings"), secrets), "overall_score": score, "capped_from": F.when(capped, F.col("r_overall")),
+        "grade": F.struct(ladder(criteria, score, "label").alias("label"), ladder(criteria, score, "color").alias("color")),
+    }
+    return [step for step in steps if step], told
 
 
 def _redacted(entries: Column, patterns: list[dict]) -> Column:
