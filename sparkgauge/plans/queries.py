@@ -20,7 +20,10 @@ from sparkgauge.sources import report_json, report_text
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("content"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("content"))
+    # A file may be one row group, which one task reads. Dealing rows out costs little beside measuring them.
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
