@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
+from sparkgauge.llm import chat_format, conversation_repair, decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_secrets": secrets.op10_secrets,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 ORACLES = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
 }
