@@ -67,6 +67,15 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted like the tables that cut() writes."""
+    entry = (spark, f"{shared_folder(spark)}/sparkgauge/{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(entry)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(entry)
+    return entry[1]
+
+
 def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later steps start from the files, not from its plan.
 
@@ -74,13 +83,10 @@ def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     spark = df.sparkSession
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": rows}
     wanted["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] = True
-    entry = (spark, f"{shared_folder(spark)}/sparkgauge/{name}-{uuid.uuid4().hex}")
-    _WRITTEN.append(entry)
-    if (scope := _SCOPE.get()) is not None:
-        scope.append(entry)
+    path = own_folder(spark, name)
     with _settings(spark, {k: str(v).lower() for k, v in wanted.items()}):
-        df.write.parquet(entry[1])
-    return spark.read.schema(df.schema).parquet(entry[1])
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(entry: tuple[SparkSession, str]) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkgauge.llm import chat_format, conversation_repair, decontaminate, exact_dedup, heavy_hitters, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter
+from sparkgauge.llm import chat_format, conversation_repair, decontaminate, exact_dedup, heavy_hitters, lm_score, ngram_join, packing, quality, secrets, sharding, url_filter, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_secrets": secrets.op10_secrets,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_warc": warc.op12_warc,
     "op13_heavy_hitters": heavy_hitters.op13_heavy_hitters,
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_conversation_repair": conversation_repair.OP11_SQL,
+    "op12_warc": warc.OP12_SQL,
 }
