@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import BITMAP_BITS, cut, settled, table
+from sparkgauge.llm.common import cut, settled, table
 
 #: A key is heavy if SUPPORT times its weight is over the group's; an epoch's weight is so that bounds are at most half of that apart.
 SUPPORT = 50
 #: Entries that are taken into a summary at once, and that a summary may hold before it is given out and begun anew.
 CHUNK, MOST = 250_000, 1_000_000
-#: Bits of the bitmap of survivors, whatever the input: 1 MB.
+#: Bits of the bitmap of survivors (1 MB), whatever the input.
 FILTER_BITS = 23
 
 
@@ -95,33 +95,13 @@ def _summariser(by: list[str], item: str, weight: str, epoch: int, chunk: int, m
     return summarise
 
 
-def _counter(by: list[str], item: str, weight: str, chunk: int, bitmap, bits: int) -> Callable:
-    """Partial sums of the keys whose bit is set."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        spots = np.frombuffer(bitmap.value, dtype=np.uint8)
-
-        def survivors() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("bit").to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
-                yield batch.filter(pa.array((spots[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
-        for rows in _chunks(survivors(), chunk):
-            yield from _summed(rows, [*by, item], [weight]).select([*by, item, weight]).to_batches()
-
-    return count
-
-
-def _bitmap(spark: SparkSession, keyed: DataFrame, bits: int):
-    """A broadcast bitmap of fixed size of the lowest bits of the column ``bit``."""
-    spot = F.pmod("bit", F.lit(1 << bits))
-    parts = keyed.select(spot.alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP_BITS).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("map"))
-    whole = bytearray(max(1 << bits, BITMAP_BITS) // 8)
-    for r in parts.collect():  # 2^bits / 32768 rows of 4 KB
-        whole[r["part"] * BITMAP_BITS // 8 : (r["part"] + 1) * BITMAP_BITS // 8] = r["map"]
-    return spark.sparkContext.broadcast(bytes(whole))
+def _survivors(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """The rows whose keys are in ``wanted``, and few others: a bitmap of 2^bits bits is broadcast, as at most 2^bits / 64 words."""
+    spot = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    word, bit = F.shiftright(spot, 6), F.pmod(spot, F.lit(64)).cast("int")
+    words = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("_word").agg(F.bit_or("one").alias("_map"))
+    met = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return met.filter(F.coalesce(F.getbit("_map", bit), F.lit(0)) == 1).select(*rows.columns)
 
 
 @settled("heavy")
@@ -139,7 +119,7 @@ def heavy_hitters(
     totals by a join of plain exchanges, of which Spark splits hot partitions. The second pass reads the entries again
     through a bitmap of fixed size; where survivors are so many that it is full, it only spares nothing.
     """
-    spark, keys = entries.sparkSession, [*by, item]
+    keys = [*by, item]
     whole = entries.select(*[F.col(f"`{c}`") for c in by], F.col(item).cast("string").alias(item), F.col(weight).cast("long").alias(weight)).dropna().filter(F.col(weight) >= 0)
     whole = cut(whole, "entries", chunk)
     types = {f.name: f.dataType.simpleString() for f in whole.schema}
@@ -156,10 +136,7 @@ def heavy_hitters(
     maybe = met.select("_group.*", item, "n_entries", "total", "low", high.alias("high")).filter(F.col("high") > limit)
     maybe = cut(maybe, "candidates", chunk)
     open_ = maybe.filter("low < high")
-    bit = F.xxhash64(*keys)
-    bitmap = _bitmap(spark, open_.select(bit.alias("bit")), bits)
-    counted = whole.withColumn("bit", bit).mapInArrow(_counter(by, item, weight, chunk, bitmap, bits), f"{head}, `{weight}` long")
-    exact = counted.groupBy(*keys).agg(F.sum(weight).alias("_w"))
+    exact = _survivors(whole, open_, keys, bits).groupBy(*keys).agg(F.sum(weight).alias("_w"))
     known = maybe.filter("low = high").withColumn("_w", F.col("low")).unionByName(open_.join(exact, keys))
     estimate = F.col("low") + F.expr("(high - low) div 2")
     return known.filter(F.col("_w") > limit).select(*keys, "n_entries", "total", F.col("_w").alias("w"), "low", estimate.alias("estimate"), "high")
