@@ -122,7 +122,7 @@ def _make_expressions(criteria: dict, preset: str, kinds: list[str], evidence: b
                 continue
             measure = check["measure"]
             if measure["type"] not in MEASURES:
-                failed[key(check)] = f'no implementation for measure "{measure["type"]}"'
+                failed[key(check)] = f'nothing here measures "{measure["type"]}"'
                 continue
             try:
                 made = MEASURES[measure["type"]](measure.get("params") or {}, criteria)
@@ -184,7 +184,7 @@ def _redacted(entries: Column, patterns: list[dict]) -> Column:
 def _measurements(criteria, kind, outcome, failed, key, evidence) -> Column:
     rows = []
     for c in checks_for(criteria, kind):
-        if c["mode"] != "mechanical" or not c.get("measure") or key(c) in failed and failed[key(c)].startswith("no implementation"):
+        if c["mode"] != "mechanical" or not c.get("measure") or key(c) in failed and failed[key(c)].startswith("nothing here measures"):
             continue
         got = outcome(c)
         none = F.lit(None).cast(T.EVIDENCE)

@@ -185,6 +185,35 @@ def evidence_hits(spark, sf_dir):
     return rows.select("doc_id", "place", "e.line", "e.excerpt", "e.hint")
 
 
+def _told(docs: DataFrame, outcome) -> DataFrame:
+    """(doc_id, place, line, excerpt, hint): the evidence of a measure, in its order."""
+    rows = M.prepare(docs, "content").select("doc_id", F.posexplode_outer(outcome["evidence"]).alias("place", "e")).filter("place is not null")
+    return rows.select("doc_id", "place", "e.line", "e.excerpt", "e.hint")
+
+
+def evidence_pii(spark, sf_dir):
+    return _told(_docs(spark, sf_dir), M.pattern_hits({"patternSet": "pii"}, load_criteria()))
+
+
+def evidence_duplicates(spark, sf_dir):
+    return _told(hostile(spark, sf_dir), M.duplicate_lines({}, load_criteria()))
+
+
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, content): each line of a document as a heading or, every fourth one, as text; levels jump."""
+    lines = F.transform(F.split("content", "\n", -1), lambda s, i: F.when(i % 4 == 3, s).otherwise(F.concat(F.repeat(F.lit("#"), 1 + (i * 5 + F.length(s)) % 6), F.lit(" "), s)))
+    return _docs(spark, sf_dir).withColumn("content", F.array_join(lines, "\n"))
+
+
+def evidence_headings(spark, sf_dir):
+    return _told(outlined(spark, sf_dir), M.heading_structure({"minHeadingsFromLines": 2}, load_criteria()))
+
+
+def evidence_blocks(spark, sf_dir):
+    """The first long bullets: at most eight of a document, as the measure lists them."""
+    return _told(bullets(spark, sf_dir), M.block_length({"kind": "listItem", "limit": 60}, load_criteria()))
+
+
 def file_kinds(spark, sf_dir):
     """(doc_id, file_kind, axis, total_checks): the kinds of files by path, and how many checks each has on an axis."""
     names = ("a/.github/copilot-instructions.md", "x.instructions.md", "b\\.github\\copilot-instructions.md", "copilot-instructions.md", "a/x.instructions.md.txt", ".github/copilot-instructions.md")
@@ -281,7 +310,7 @@ QUERIES = {
     for f in (
         reports, token_bands, token_bands_repo_wide, word_count, filler_words, negative_rules, examples_present, output_constraint,
         written_in_english, duplicate_lines, headings, long_paragraphs, long_bullets, inline_bulk, inline_bulk_hostile, secrets, internal_hosts, personal_data,
-        frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, injection, headings_hostile, bullets_hostile, evidence_hits,
+        frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, injection, headings_hostile, bullets_hostile, evidence_hits, evidence_pii, evidence_duplicates, evidence_headings, evidence_blocks,
         file_kinds, reports_with_findings, measurements, findings_requested, findings_missing,
         reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, report_texts, report_jsons,
     )
@@ -461,19 +490,21 @@ _INJECTION = " + ".join(
     f"len(regexp_extract_all(t, '(?i){p}'))"
     for p in (r"(ignore|disregard|forget)\s+(all\s+)?(previous|prior|above)\s+(instructions|rules)", r"you are now\s+(a|an|in)\b", r"system\s*prompt[^.\n]{0,20}(reveal|print|show|output|leak)")
 )
+_EXAMPLE = r"(?!example\.(com|org|net))"
 _HIT_SETS = ("secrets", "internalHosts", "injection")
 
 
-def _evidence_sql() -> str:
-    """The hits of each pattern with their places: what is between matches, and the matches, in order."""
+def _evidence_sql(sets: tuple[str, ...], view: str) -> str:
+    """The hits of each pattern with their places: what is between matches, and the matches, in order. DuckDB's expressions
+    have no look-ahead, so mail addresses of example domains are found, and dropped after that."""
     rows, place = [], 0
-    for name in _HIT_SETS:
+    for name in sets:
         for pattern in PATTERNS[name]:
-            regex = ("(?i)" if "i" in pattern.get("flags", "") else "") + f"(?:{pattern['re']})"
+            regex = ("(?i)" if "i" in pattern.get("flags", "") else "") + f"(?:{pattern['re'].replace(_EXAMPLE, '')})"
             rows.append(f"SELECT doc_id, t, {place} AS pattern, {_sql_text(pattern['hint'])} AS hint, regexp_extract_all(t, {_sql_text(regex)}) AS hits, string_split_regex(t, {_sql_text(regex)}) AS rest FROM d")
             place += 1
-    return f"""WITH {_HOSTILE}, m AS ({" UNION ALL ".join(rows)}), k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m WHERE len(hits) > 0),
-p AS (SELECT *, CAST(list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, length(hits[k]) AS n FROM k),
+    return f"""WITH {view}, m AS ({" UNION ALL ".join(rows)}), k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m WHERE len(hits) > 0),
+p AS (SELECT *, CAST(list_sum(list_transform(rest[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, length(hits[k]) AS n FROM k WHERE NOT regexp_matches(hits[k], '@{_EXAMPLE.removeprefix("(?!").removesuffix(")")}')),
 q AS (SELECT *, greatest(0, pos - 10) AS start, least(n, greatest(0, pos - 10) + 60 - pos) AS seen, greatest(0, pos - 10) + 60 AS stop FROM p),
 e AS (SELECT *, substr(t, start + 1, pos - start) || CASE WHEN seen <= 4 THEN repeat('*', seen) ELSE substr(t, pos + 1, 4) || repeat('*', least(12, seen - 4)) END || substr(t, pos + seen + 1, stop - pos - seen) AS shown FROM q)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern, k) - 1 AS INT) AS place, CAST(length(substr(t, 1, pos)) - length(replace(substr(t, 1, pos), chr(10), '')) + 1 AS INT) AS line,
@@ -557,7 +588,19 @@ ORACLES |= {
     "injection": _hits(_HOSTILE, _INJECTION, 50),
     "headings_hostile": _scored(_HOSTILE_HEADINGS, "v", _banded("v", (0, 100), (1, 70), (None, 40))),
     "bullets_hostile": _scored(_HOSTILE_BULLETS, "v", _penalty("v", 10, 20)),
-    "evidence_hits": _evidence_sql(),
+    "evidence_hits": _evidence_sql(_HIT_SETS, _HOSTILE),
+    "evidence_pii": _evidence_sql(("pii",), _PLAIN),
+    "evidence_duplicates": f"WITH {_HOSTILE}, {_LINES % 'd'}, k AS (SELECT doc_id, n, s, {_KEY} AS k FROM l WHERE length({_KEY}) >= 25), "
+    "f AS (SELECT *, min(n) OVER (PARTITION BY doc_id, k) AS first FROM k) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS place, CAST(n AS INT) AS line, "
+    "left(trim(s, ' ' || chr(9) || chr(13)), 60) AS excerpt, 'said before, on line ' || first AS hint FROM f WHERE n > first",
+    "evidence_headings": f"WITH {_PLAIN}, {_LINES % 'd'}, v AS (SELECT doc_id, n, CASE WHEN n % 4 = 0 OR NOT regexp_matches(s, '[^\\s\\x{{A0}}]') THEN 0 ELSE 1 + ((n - 1) * 5 + length(s)) % 6 END AS level FROM l), "
+    "j AS (SELECT doc_id, n, level, lag(level) OVER (PARTITION BY doc_id ORDER BY n) AS above FROM v WHERE level > 0), "
+    "c AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (level > 0) AS heads FROM v GROUP BY doc_id), "
+    "e AS (SELECT doc_id, n AS line, 'h' || level || ' right below h' || above AS hint FROM j WHERE level - above > 1 "
+    "UNION ALL SELECT doc_id, NULL, 'no outline: ' || heads || ' heading(s) in ' || lines || ' lines' FROM c WHERE lines >= 2 AND heads < 2) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line NULLS FIRST) - 1 AS INT) AS place, CAST(line AS INT) AS line, CAST(NULL AS VARCHAR) AS excerpt, hint FROM e",
+    "evidence_blocks": f"WITH {_PLAIN}, {_LINES % 'd'}, b AS (SELECT doc_id, n, ltrim(s, ' ' || chr(9) || chr(13)) AS s FROM l), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS place FROM b WHERE length(s) > 60) "
+    "SELECT doc_id, CAST(place AS INT) AS place, CAST(n AS INT) AS line, trim(regexp_replace(left(s, 60), '[\\s\\x{A0}]+', ' ', 'g')) AS excerpt, length(s) || ' chars where 60 are allowed' AS hint FROM e WHERE place < 8",
     "file_kinds": _kinds_sql(),
     "measurements": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS check_id, value FROM ({sql})" for k, sql in _CHECK_SQL.items()),
     "reports_with_findings": _report_sql("SELECT doc_id, overall_score, axis, score, check_count FROM final JOIN axes USING (doc_id)", more=_FOUND),
