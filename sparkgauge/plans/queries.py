@@ -297,6 +297,33 @@ def grades_by_source(spark, sf_dir):
     return rows.groupBy("source", "grade").agg(F.count(F.lit(1)).alias("documents"), F.sum("overall_score").alias("points"))
 
 
+def measurements_told(spark, sf_dir):
+    """(doc_id, check_id, place, line, excerpt, hint): the evidence of all measurements of a report, secrets redacted."""
+    rows = _reports(spark, sf_dir, evidence=True).select("doc_id", F.explode_outer("measurements").alias("m"))
+    rows = rows.select("doc_id", "m.check_id", F.posexplode_outer("m.evidence").alias("place", "e")).filter("place is not null")
+    return rows.select("doc_id", "check_id", "place", "e.line", "e.excerpt", "e.hint")
+
+
+_READ_BACK = (
+    "struct<report:struct<file:string,tool:string,preset:string,fileKind:string,overallScore:int,cappedFrom:int,grade:struct<label:string,color:string>,"
+    "checkScores:array<struct<checkId:string,axis:string,applicable:boolean,score:double,evidence:array<struct<line:int>>>>,blockers:array<struct<checkId:string>>,fixes:array<struct<checkId:string>>>,"
+    "failures:array<struct<checkId:string>>,aiError:string,usage:struct<inputTokens:int>>"
+)
+
+
+def report_json_scores(spark, sf_dir):
+    """The JSON of reports read again: (doc_id, file, kind, overall, capped_from, grade, blockers, fixes, failures, check_id, axis, applicable, score,
+    told), a row per check; ``told`` counts its evidence."""
+    read = report_jsons(spark, sf_dir).select("doc_id", F.from_json("report", _READ_BACK, {"mode": "FAILFAST"}).alias("j"))
+    rows = read.select("doc_id", "j", F.explode_outer("j.report.checkScores").alias("c"))
+    ids = lambda a: F.array_join(F.transform(a, lambda x: x["checkId"]), ",")
+    return rows.select(
+        "doc_id", F.col("j.report.file").alias("file"), F.col("j.report.fileKind").alias("kind"), F.col("j.report.overallScore").alias("overall"), F.col("j.report.cappedFrom").alias("capped_from"),
+        F.col("j.report.grade.label").alias("grade"), ids("j.report.blockers").alias("blockers"), ids("j.report.fixes").alias("fixes"), F.size("j.failures").alias("failures"),
+        F.col("c.checkId").alias("check_id"), "c.axis", "c.applicable", "c.score", F.greatest(F.size("c.evidence"), F.lit(0)).alias("told"),
+    )
+
+
 def report_texts(spark, sf_dir):
     return _reports(spark, sf_dir, evidence=True).select("doc_id", report_text().alias("report"))
 
@@ -312,7 +339,7 @@ QUERIES = {
         written_in_english, duplicate_lines, headings, long_paragraphs, long_bullets, inline_bulk, inline_bulk_hostile, secrets, internal_hosts, personal_data,
         frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, injection, headings_hostile, bullets_hostile, evidence_hits, evidence_pii, evidence_duplicates, evidence_headings, evidence_blocks,
         file_kinds, reports_with_findings, measurements, findings_requested, findings_missing,
-        reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, report_texts, report_jsons,
+        reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, measurements_told, report_texts, report_jsons, report_json_scores,
     )
 }
 
@@ -367,11 +394,12 @@ def _phrases(column: str, phrases: list[str]) -> str:
     """Occurrences of the phrases: separators are doubled, so that two hits never need the same one."""
     double = rf"regexp_replace({column}, '([^\p{{L}}-])', '\1\1', 'g')"
 
-    def pattern(p: str) -> str:
-        quoted = "".join(c if c.isalpha() or c == "-" else ("\\" + c) * 2 if c in ".*+?^${}()|[]\\" else c * 2 for c in p.strip())
-        return f"(?i)(?:^|[^\\p{{L}}-]){quoted}(?:[^\\p{{L}}-]|$)".replace("'", "''")
+    return " + ".join(f"len(regexp_extract_all({double}, '{_phrase_sql(p)}'))" for p in phrases)
 
-    return " + ".join(f"len(regexp_extract_all({double}, '{pattern(p)}'))" for p in phrases)
+
+def _phrase_sql(p: str) -> str:
+    quoted = "".join(c if c.isalpha() or c == "-" else ("\\" + c) * 2 if c in ".*+?^${}()|[]\\" else c * 2 for c in p.strip())
+    return f"(?i)(?:^|[^\\p{{L}}-]){quoted}(?:[^\\p{{L}}-]|$)".replace("'", "''")
 
 
 _PROSE = r"p AS (SELECT doc_id, regexp_replace(regexp_replace(t, '`[^`\n]*`', ' ', 'g'), 'https?://[^\s\x0B\x{A0}]+', ' ', 'g') AS t FROM d)"
@@ -546,14 +574,15 @@ def _rows(values) -> str:
     return ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in values)
 
 
-def _report_sql(last: str, preset: str = "balanced", more: str = "") -> str:
+def _report_sql(last: str, preset: str = "balanced", more: str = "", told: str = "SELECT 1") -> str:
+    """``last`` may name final, axes, scores and checks; and told, if that is given."""
     criteria = load_criteria()
     places = _rows((c["id"], c["axis"], c["weight"], c["fix"].replace("'", "''"), i) for i, c in enumerate(_ordered(criteria)))
     requires = _rows((c["id"], r) for c in criteria["checks"] for r in c.get("requires", []))
     weights = _rows((a["id"], float(criteria["presets"][preset]["weights"][a["id"]])) for a in criteria["axes"])
     raw = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS check_id, score FROM ({sql})" for k, sql in _CHECK_SQL.items()) + more
     return f"""WITH RECURSIVE checks(check_id, axis, weight, fix, place) AS (VALUES {places}), needs(check_id, needed) AS (VALUES {requires}),
-weights(axis, weight) AS (VALUES {weights}), raw AS MATERIALIZED ({raw}),
+weights(axis, weight) AS (VALUES {weights}), told AS ({told}), raw AS MATERIALIZED ({raw}),
 every AS (SELECT d.doc_id, c.check_id, r.score FROM documents d CROSS JOIN checks c LEFT JOIN raw r ON r.doc_id = d.doc_id AND r.check_id = c.check_id),
 failed AS (
   SELECT e.doc_id, n.check_id FROM every e JOIN needs n ON n.needed = e.check_id WHERE e.score IS NULL OR e.score < 100
@@ -616,3 +645,138 @@ ORACLES |= {
         f"SELECT source, {_GRADE.format('overall_score')} AS grade, count(*) AS documents, CAST(sum(overall_score) AS BIGINT) AS points FROM final JOIN documents USING (doc_id) GROUP BY ALL"
     ),
 }
+
+
+# Whole reports with evidence: every measure's, then what the sinks make of them.
+
+_SQUEEZED = "trim(regexp_replace(left({0}, 60), '[\\s\\x{{A0}}]+', ' ', 'g'))"
+_OFFSET = "o AS (SELECT d.doc_id, len(string_split(d.t, chr(10))) - len(string_split(b.t, chr(10))) AS off FROM d JOIN b USING (doc_id))"
+
+
+def _listed(check: str, ctes: str, source: str, line: str, excerpt: str, hint: str, order: str, most: int | None = None) -> str:
+    limit = f" WHERE place < {most}" if most else ""
+    return (
+        f"SELECT doc_id, '{check}' AS check_id, CAST(place AS INT) AS place, CAST(line AS INT) AS line, excerpt, hint FROM (WITH {ctes} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS place, "
+        f"{line} AS line, {excerpt} AS excerpt, {hint} AS hint FROM {source}){limit}"
+    )
+
+
+def _said_sql(words: str) -> str:
+    """(doc_id, i, phrase, n) of the phrases of a set that the view's prose has."""
+    each = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {_sql_text(p)} AS phrase, len(regexp_extract_all(t, '{_phrase_sql(p)}')) AS n FROM dd" for i, p in enumerate(WORDS[words]))
+    return rf"{_VIEW_PROSE}, dd AS MATERIALIZED (SELECT doc_id, regexp_replace(t, '([^\p{{L}}-])', '\1\1', 'g') AS t FROM p), said AS (SELECT * FROM ({each}) WHERE n > 0)"
+
+
+def _marker_told(check: str, words: str, fence: bool = False) -> str:
+    told = "string_agg(phrase, ', ' ORDER BY i) FILTER (nth <= 5)"
+    other = "CASE WHEN regexp_matches(b.t, '(^|\\n)\\s*```') THEN 'a fenced block shows one' ELSE 'none of the words looked for' END" if fence else "'none of the words looked for'"
+    ctes = f"{_said_sql(words)}, nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM said), s AS (SELECT doc_id, {told} AS told FROM nth GROUP BY doc_id)"
+    return _listed(check, ctes, "b LEFT JOIN s USING (doc_id)", "NULL", "NULL", f"coalesce('says: ' || told, {other})", "doc_id")
+
+
+def _redacted_sql(column: str) -> list[tuple[str, str]]:
+    """A step for each secret's pattern: its matches by their redaction, the rest as it is."""
+    steps = []
+    for pattern in PATTERNS["secrets"]:
+        regex = _sql_text(("(?i)" if "i" in pattern.get("flags", "") else "") + f"(?:{pattern['re']})")
+        mask = "CASE WHEN length(m) <= 4 THEN repeat('*', length(m)) ELSE left(m, 4) || repeat('*', least(12, length(m) - 4)) END"
+        masked = f"list_zip(string_split_regex({column}, {regex}), list_transform(regexp_extract_all({column}, {regex}), lambda m: {mask}))"
+        steps.append(f"CASE WHEN regexp_matches({column}, {regex}) THEN array_to_string(list_transform({masked}, lambda z: z[1] || coalesce(z[2], '')), '') ELSE {column} END")
+    return steps
+
+
+def _told_sql() -> str:
+    """(doc_id, check_id, place, line, excerpt, hint) of all measures, before redaction."""
+    n_tokens = "CAST(ceil(length(t) / 4.0) AS BIGINT)"
+    share = "CAST(floor(greatest(en, de) / (en + de)::DOUBLE * 100 + 0.5) AS BIGINT)"
+    english = f"CASE WHEN n < 40 THEN 'too few words to tell the language: ' || n WHEN en + de = 0 THEN 'the language could not be told' ELSE 'reads like ' || CASE WHEN en >= de THEN 'en' ELSE 'de' END || ', with ' || {share} || '% of the common words met; en is wanted' END"
+    fences = (
+        f"{_VIEW}, {_LINES % 'd'}, f AS (SELECT *, CAST(starts_with(s, '```') AS INT) AS fence, sum(CAST(starts_with(s, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM l), "
+        "k AS (SELECT doc_id, fences, min(n) + 1 AS line, coalesce(string_agg(s, chr(10) ORDER BY n) FILTER (fence = 0), '') AS text FROM f WHERE fences % 2 = 1 GROUP BY doc_id, fences), "
+        "m AS (SELECT doc_id, max(fences) AS most FROM f GROUP BY doc_id), x AS (SELECT k.* FROM k JOIN m USING (doc_id) WHERE length(text) > 40 AND fences < most)"
+    )
+    paragraphs = _PARAGRAPHS[: _PARAGRAPHS.index("k AS (SELECT doc_id, sum(length(s))")] + f"{_OFFSET}, k AS (SELECT doc_id, min(n) AS n, string_agg(s, ' ' ORDER BY n) AS text FROM g WHERE prose GROUP BY doc_id, block), x AS (SELECT k.*, n + off AS line FROM k JOIN o USING (doc_id) WHERE length(text) > 400)"
+    jumps = _HEADINGS[: _HEADINGS.index("j AS (")] + f"{_OFFSET}, j AS (SELECT doc_id, n, level, lag(level) OVER (PARTITION BY doc_id ORDER BY n) AS above FROM h), x AS (SELECT j.*, n + off AS line FROM j JOIN o USING (doc_id) WHERE level - above > 1)"
+    same = (
+        f"{_VIEW}, {_LINES % 'd'}, k AS (SELECT doc_id, n, s, {_KEY} AS k FROM l WHERE length({_KEY}) >= 25), f AS (SELECT *, min(n) OVER (PARTITION BY doc_id, k) AS first FROM k), x AS (SELECT * FROM f WHERE n > first)"
+    )
+    broad = _sql_text(PATTERNS["globSyntax"][0]["hint"])
+    header = f"SELECT doc_id, {{}} AS check_id, 0 AS place, {{}} AS line, {{}} AS excerpt, {{}} AS hint FROM documents WHERE {{}}"
+    hits = [
+        f"SELECT doc_id, '{check}' AS check_id, place, line, excerpt, hint FROM ({_evidence_sql((name,), _VIEW)})"
+        for check, name in (("security.secrets", "secrets"), ("security.internal-hosts", "internalHosts"), ("security.pii", "pii"), ("security.injection-patterns", "injection"))
+    ]
+    return " UNION ALL ".join([
+        _listed("cost.file-length", _VIEW, "d", "NULL", "NULL", f"length(t) || ' UTF-16 units, some ' || {n_tokens} || ' tokens by chars/4'", "doc_id"),
+        _listed("cost.redundancy", same, "x", "n", "left(trim(s, ' ' || chr(9) || chr(13)), 60)", "'said before, on line ' || first", "n"),
+        _marker_told("cost.output-constraint", "outputConstraintMarkers"),
+        _listed("cost.no-inline-bulk", fences, "x", "line", _SQUEEZED.format("text"), "length(text) || ' chars where 40 are allowed'", "line", 8),
+        _listed("clarity.written-in-english", _ENGLISH.replace(f"{_PLAIN}, {_PROSE}", _VIEW_PROSE), "y", "NULL", "NULL", english, "doc_id"),
+        _listed("clarity.filler-words", _said_sql("fillerWords"), "said", "NULL", "phrase", "n || '×'", "n DESC, i", 8),
+        _listed("structure.headings", jumps, "x", "line", "NULL", "'h' || level || ' right below h' || above", "n"),
+        _listed("structure.lists-over-prose", paragraphs, "x", "line", _SQUEEZED.format("text"), "length(text) || ' chars where 400 are allowed'", "line", 8),
+        _marker_told("completeness.examples", "exampleMarkers", fence=True),
+        _marker_told("completeness.dos-and-donts", "negativeRuleMarkers"),
+        header.format("'structure.applyto-present'", "CASE doc_id % 4 WHEN 3 THEN 1 ELSE 3 END", "NULL", "CASE doc_id % 4 WHEN 3 THEN 'no value for applyTo' ELSE 'applyTo has a value' END", "true"),
+        header.format("'structure.applyto-valid'", "3", "'src/{a'", "'no glob that could match'", "doc_id % 4 = 2"),
+        header.format("'structure.applyto-scoped'", "3", "'**'", broad, "doc_id % 4 = 1"),
+        *hits,
+    ])
+
+
+def _redacted_told(rows: str) -> str:
+    ctes, last = [f"t0 AS ({rows})"], "t0"
+    for i, (excerpt, hint) in enumerate(zip(_redacted_sql("excerpt"), _redacted_sql("hint"), strict=True), 1):
+        ctes.append(f"t{i} AS (SELECT doc_id, check_id, place, line, {excerpt} AS excerpt, {hint} AS hint FROM {last})")
+        last = f"t{i}"
+    return f"WITH {', '.join(ctes)} SELECT * FROM {last}"
+
+
+_FIXES = "SELECT s.doc_id, s.check_id, c.fix, row_number() OVER (PARTITION BY s.doc_id ORDER BY c.weight * (100 - s.score) DESC, c.place) AS n FROM scores s JOIN checks c USING (check_id) WHERE s.score < 100"
+
+
+def _names(values: dict[str, str], column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {_sql_text(v)}" for k, v in values.items()) + " END"
+
+
+def _text_sql() -> str:
+    """The report for a terminal: head, blockers with their evidence, score, axes in the criteria's order, fixes by impact."""
+    criteria = load_criteria()
+    severity = {c["id"]: {"blocker": " blocker ", "warn": "[warn]"}.get(c.get("severity"), "[info]") for c in criteria["checks"]}
+    labels = {c["id"]: c["label"] for c in criteria["checks"]}
+    axes = {a["id"]: a["label"] for a in criteria["axes"]}
+    order = {a["id"]: str(i) for i, a in enumerate(criteria["axes"])}
+    evidence = "concat_ws(' — ', 'line ' || line, CASE WHEN excerpt <> '' THEN '\"' || excerpt || '\"' END, CASE WHEN hint <> '' THEN hint END)"
+    bar = "CASE WHEN check_count = 0 THEN repeat('·', 20) ELSE repeat('█', CAST(floor(score / 100.0 * 20 + 0.5) AS INT)) || repeat('░', 20 - CAST(floor(score / 100.0 * 20 + 0.5) AS INT)) END"
+    return _report_sql(
+        f"""SELECT f.doc_id, chr(10) || 'File: docs/' || f.doc_id || '.instructions.md' || chr(10) || 'Tool: {criteria["tool"]}  Kind: scoped  Preset: balanced  Criteria: v{criteria["criteriaVersion"]}' || chr(10)
+  || coalesce(chr(10) || blocked.told || chr(10), '') || chr(10) || 'Overall score: ' || overall_score || '/100 — ' || {_GRADE.format("overall_score")} || CASE WHEN capped THEN ' (capped from ' || whole || ')' ELSE '' END
+  || chr(10) || chr(10) || bars.told || chr(10) || coalesce(chr(10) || 'What to mend, the most rewarding first:' || chr(10) || mend.told, chr(10) || 'Nothing to mend.') AS report
+FROM final f
+LEFT JOIN (
+  SELECT s.doc_id, string_agg(' BLOCKER  ' || {_names(labels, "s.check_id")} || coalesce(chr(10) || e.told, ''), chr(10) ORDER BY c.place) AS told
+  FROM scores s JOIN checks c USING (check_id) LEFT JOIN (SELECT doc_id, check_id, string_agg('   ' || {evidence}, chr(10) ORDER BY place) AS told FROM told GROUP BY ALL) e USING (doc_id, check_id)
+  WHERE s.check_id IN ('security.secrets', 'security.internal-hosts') AND s.score < 100 GROUP BY s.doc_id
+) blocked USING (doc_id)
+JOIN (
+  SELECT doc_id, string_agg('  ' || rpad({_names(axes, "axis")}, 20, ' ') || ' ' || {bar} || ' ' || CASE WHEN check_count = 0 THEN 'n/a' ELSE lpad(CAST(score AS VARCHAR), 3, ' ') END
+    || CASE WHEN check_count < total_checks THEN ' (' || check_count || '/' || total_checks || ' checks)' ELSE '' END, chr(10) ORDER BY CAST({_names(order, "axis")} AS INT)) AS told FROM axes GROUP BY doc_id
+) bars USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg('  ' || lpad(CAST(n AS VARCHAR), 2, ' ') || '. ' || {_names(severity, "check_id")} || ' ' || fix, chr(10) ORDER BY n) AS told FROM ({_FIXES}) GROUP BY doc_id) mend USING (doc_id)""",
+        told=_redacted_told(_told_sql()),
+    )
+
+
+def _json_sql() -> str:
+    blockers = "SELECT s.doc_id, string_agg(s.check_id, ',' ORDER BY c.place) AS ids FROM scores s JOIN checks c USING (check_id) WHERE s.check_id IN ('security.secrets', 'security.internal-hosts') AND s.score < 100 GROUP BY s.doc_id"
+    return _report_sql(
+        f"""SELECT f.doc_id, 'docs/' || f.doc_id || '.instructions.md' AS file, 'scoped' AS kind, overall_score AS overall, CASE WHEN capped THEN whole END AS capped_from, {_GRADE.format("overall_score")} AS grade,
+  coalesce(b.ids, '') AS blockers, coalesce(m.ids, '') AS fixes, 0 AS failures, s.check_id, c.axis, s.applicable, s.score, CAST(CASE WHEN s.applicable THEN coalesce(e.n, 0) ELSE 0 END AS INT) AS told
+FROM final f JOIN scores s USING (doc_id) JOIN checks c USING (check_id) LEFT JOIN ({blockers}) b USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(check_id, ',' ORDER BY n) AS ids FROM ({_FIXES}) GROUP BY doc_id) m USING (doc_id)
+LEFT JOIN (SELECT doc_id, check_id, count(*) AS n FROM told GROUP BY ALL) e ON e.doc_id = s.doc_id AND e.check_id = s.check_id""",
+        told=_told_sql(),
+    )
+
+
+ORACLES |= {"measurements_told": _redacted_told(_told_sql()), "report_texts": _text_sql(), "report_json_scores": _json_sql()}
