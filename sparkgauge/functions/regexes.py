@@ -12,6 +12,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 
+from sparkgauge.functions.globs import glob_regex
+
 #: What ECMAScript counts as white space, as the inside of a Java character class.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: The class itself; what lies beyond Latin-1 is behind one range, so that most characters are settled by two tests.
@@ -25,52 +27,185 @@ _NO_EDGE = f"(?:(?<![{_WORD}])(?![{_WORD}])|(?<=[{_WORD}])(?=[{_WORD}]))"
 _META = set(".*+?^${}()|[]\\")
 
 
-def java_regex(pattern: str, flags: str = "") -> str:
-    """The Java pattern for an ECMAScript ``pattern`` with ``flags`` (of which g and y don't matter here)."""
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            e = pattern[i + 1]
+class PatternError(ValueError):
+    """Not an ECMAScript pattern, or one that Java's engine has nothing for."""
+
+
+_ANY = r"(?s:.)"
+_SETS = {"d": "[0-9]", "D": "[^0-9]", "w": f"[{_WORD}]", "W": f"[^{_WORD}]", "s": f"[{SPACE}]", "S": NOT_WS}
+_CONTROLS = {"v": r"\x0B", "t": r"\t", "n": r"\n", "r": r"\r", "f": r"\f", "0": r"\x00"}
+#: Properties that Java knows by other names: with Is before them, and as short names of categories.
+_BINARY = ("Alphabetic", "Ideographic", "Lowercase", "Uppercase", "White_Space", "Emoji", "Emoji_Presentation", "Emoji_Modifier", "Emoji_Modifier_Base", "Emoji_Component", "Extended_Pictographic")
+_CATEGORIES = {
+    "Letter": "L", "Lowercase_Letter": "Ll", "Uppercase_Letter": "Lu", "Titlecase_Letter": "Lt", "Mark": "M", "Number": "N", "Decimal_Number": "Nd", "Letter_Number": "Nl",
+    "Punctuation": "P", "Dash_Punctuation": "Pd", "Symbol": "S", "Math_Symbol": "Sm", "Currency_Symbol": "Sc", "Separator": "Z", "Space_Separator": "Zs", "Other": "C", "Control": "Cc",
+}
+
+
+class _Pattern:
+    """One walk over a pattern; every method reads what stands at ``at`` and returns it in Java's dialect."""
+
+    def __init__(self, pattern: str, flags: str):
+        self.pattern, self.flags, self.at = pattern, flags, 0
+        named = re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|\((?:\?<([^=!>]*)>)?(?!\?)", pattern, re.S)
+        # Java's names are letters and digits: a group is called by its place among the named ones.
+        self.names = {name: f"named{i}" for i, name in enumerate(m[1] for m in named if m[1] is not None)}
+
+    def peek(self, n: int = 1) -> str:
+        return self.pattern[self.at : self.at + n]
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.pattern[self.at - n : self.at]
+
+    def whole(self) -> str:
+        out = self.alternatives()
+        if self.at < len(self.pattern):
+            raise PatternError("a group is closed that was not opened")
+        return out
+
+    def alternatives(self) -> str:
+        out, atom = [], False
+        while self.at < len(self.pattern) and self.peek() != ")":
+            c = self.peek()
+            if bounds := re.compile(r"[*+?]|\{\d+(?:,\d*)?\}").match(self.pattern, self.at):
+                if not atom:
+                    raise PatternError("there is nothing to repeat")
+                out.append(self.take(len(bounds[0])) + (self.take() if self.peek() == "?" else ""))
+                atom = False
+                continue
+            atom = c not in "|^$"
+            out.append(self.atom(c))
+        return "".join(out)
+
+    def atom(self, c: str) -> str:
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return self.characters()
+        if c == "\\":
+            return self.escape()
+        self.take()
+        if c == "$":
+            return r"(?=[\n\r\u2028\u2029]|\z)" if "m" in self.flags else r"\z"
+        if c == "^":
+            return r"(?<=[\n\r\u2028\u2029]|\A)" if "m" in self.flags else "^"
+        if c == ".":
+            return _ANY if "s" in self.flags else r"[^\n\r\u2028\u2029]"
+        return "\\" + c if c in "{}]" else c
+
+    def group(self) -> str:
+        opening = re.compile(r"\((?:\?(?:[:=!]|<[=!]|<([A-Za-z_$][\w$]*)>))?(?!\?)").match(self.pattern, self.at)
+        if not opening:
+            raise PatternError("a group of no known kind")
+        self.take(len(opening[0]))
+        inside = self.alternatives()
+        if self.peek() != ")":
+            raise PatternError("a group is not closed")
+        self.take()
+        return (f"(?<{self.names[opening[1]]}>" if opening[1] else opening[0]) + inside + ")"
+
+    def code_point(self) -> str | None:
+        """An escape of one character by its number; None for other escapes."""
+        if found := re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}").match(self.pattern, self.at) if "u" in self.flags else None:
+            self.take(len(found[0]))
+            return rf"\x{{{found[1]}}}"
+        if found := re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})").match(self.pattern, self.at):
+            self.take(len(found[0]))
+            return rf"\x{{{0x10000 + ((int(found[1], 16) - 0xD800) << 10) + int(found[2], 16) - 0xDC00:X}}}"
+        if found := re.compile(r"\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|c[A-Za-z])").match(self.pattern, self.at):
+            return self.take(len(found[0]))
+        return None
+
+    def property(self) -> str | None:
+        found = re.compile(r"\\([pP])\{(?:(\w+)=)?(\w+)\}").match(self.pattern, self.at) if "u" in self.flags else None
+        if not found:
+            return None
+        self.take(len(found[0]))
+        kind, name = found[2], _CATEGORIES.get(found[3], found[3])
+        if kind in ("General_Category", "gc") or kind is None and len(name) <= 2:
+            return rf"\{found[1]}{{{name}}}"
+        if kind in ("Script", "sc", "Script_Extensions", "scx"):
+            return rf"\{found[1]}{{script={name}}}"
+        if kind is None and name in _BINARY:
+            return rf"\{found[1]}{{Is{name}}}"
+        raise PatternError(f"the property {name} is not known")
+
+    def escape(self) -> str:
+        if (known := self.code_point() or self.property()) is not None:
+            return known
+        if len(self.pattern) < self.at + 2:
+            raise PatternError("a backslash at the end")
+        e = self.take(2)[1]
+        if e in "bB":
+            return _EDGE if e == "b" else _NO_EDGE
+        if e == "s":
+            return WS
+        if e in _SETS:
+            return _SETS[e]
+        if e == "k" and (found := re.compile(r"<([^>]*)>").match(self.pattern, self.at)) and self.names:
+            if found[1] not in self.names:
+                raise PatternError(f"there is no group {found[1]}")
+            self.take(len(found[0]))
+            return rf"\k<{self.names[found[1]]}>"
+        if e.isdigit() and e != "0":
+            digits = re.compile(r"\d*").match(self.pattern, self.at)[0]
+            self.take(len(digits))
+            return rf"(?:\{e}{digits})"
+        return self.literal_escape(e)
+
+    def literal_escape(self, e: str) -> str:
+        if e in _CONTROLS:
+            return _CONTROLS[e]
+        if e.isalnum() and "u" in self.flags:
+            raise PatternError(f"\\{e} has no meaning")
+        return e if e.isalnum() or e in "_ " or ord(e) > 127 else "\\" + e
+
+    def characters(self) -> str:
+        """A class. Sets that are complements become classes of their own in it; a complement of such a class is a look-ahead, as engines
+        disagree on what ^ takes in."""
+        self.take()
+        negated = self.peek() == "^"
+        self.at += negated
+        own, nested, after = [], [], False
+        while self.peek() != "]":
+            if self.at >= len(self.pattern):
+                raise PatternError("a class is not closed")
+            was, after = after, bool(re.compile(r"\\[dDsSwWpP]").match(self.pattern, self.at))
+            if self.peek() != "\\":
+                c = self.take()
+                # next to a set a hyphen makes no range
+                alone = c == "-" and (was or re.compile(r"\\[dDsSwWpP]").match(self.pattern, self.at))
+                own.append("\\" + c if c in "[&^~" or alone else c)
+                continue
+            if (known := self.code_point() or self.property()) is not None:
+                own.append(known)
+                continue
+            e = self.take(2)[1:]
+            if not e:
+                raise PatternError("a backslash at the end")
             if e == "s":
-                out.append(SPACE if in_class else WS)
-            elif e == "S":
-                out.append(f"&&{NOT_WS}" if in_class else NOT_WS)
-            elif e == "b" and not in_class:
-                out.append(_EDGE)
-            elif e == "B" and not in_class:
-                out.append(_NO_EDGE)
-            elif e == "b":
-                out.append(r"\x08")
-            elif e == "/":
-                out.append("/")
+                own.append(SPACE)
+            elif e in ("d", "w"):
+                own.append(_SETS[e][1:-1])
+            elif e in _SETS:
+                nested.append(_SETS[e])
             else:
-                out.append(c + e)
-            i += 2
-            continue
-        if in_class:
-            in_class = c != "]"
-            out.append("\\" + c if c in "[&" else c)
-        elif c == "[":
-            in_class = True
-            if pattern.startswith("[]", i):  # matches nothing
-                out.append("(?!)")
-                in_class, i = False, i + 2
-                continue
-            out.append(c)
-        elif c == "$" and "m" not in flags:
-            out.append(r"\z")
-        elif c == "$":
-            out.append(r"(?=[\n\r\u2028\u2029]|\z)")
-        elif c == "^" and "m" in flags:
-            out.append(r"(?<=[\n\r\u2028\u2029]|\A)")
-        elif c == "." and "s" not in flags:
-            out.append(r"[^\n\r\u2028\u2029]")
-        else:
-            out.append(c)
-        i += 1
-    mode = ("iu" if "i" in flags and "u" in flags else "i" if "i" in flags else "") + ("s" if "s" in flags else "")
-    return (f"(?{mode})" if mode else "") + "".join(out)
+                own.append(r"\x08" if e == "b" else self.literal_escape(e))
+        self.take()
+        inside = "".join(own) + "".join(nested)
+        if not inside:
+            return _ANY if negated else "(?!)"
+        if negated:
+            return f"(?:(?![{inside}]){_ANY})" if nested else f"[^{inside}]"
+        return f"[{inside}]"
+
+
+def java_regex(pattern: str, flags: str = "") -> str:
+    """The Java pattern for an ECMAScript ``pattern`` with ``flags`` (of which d, g and y don't matter here). Raises PatternError."""
+    out = _Pattern(pattern, flags).whole()
+    folds = "iu" if "u" in flags or not pattern.isascii() else "i"
+    return (f"(?{folds})" if "i" in flags else "") + out
 
 
 def escaped(text: str) -> str:
@@ -82,57 +217,22 @@ def phrase_regex(phrase: str) -> str:
     return rf"(?iu)(?<![\p{{L}}-]){escaped(phrase.strip())}(?![\p{{L}}-])"
 
 
-def glob_regex(glob: str) -> str:
-    """A path glob: ** crosses folders, * and ? don't; {a,b} are alternatives, [..] a class. Dot files match."""
-    out, i, depth = [], 0, 0
-    while i < len(glob):
-        c = glob[i]
-        if glob.startswith("**/", i) and (i == 0 or glob[i - 1] == "/"):
-            out.append("(?:.*/)?")
-            i += 3
-            continue
-        if glob.startswith("**", i):
-            out.append(".*")
-            i += 2
-            continue
-        close = glob.find("]", i + 2)
-        if c == "[" and close > 0:
-            inside = glob[i + 1 : close]
-            out.append("[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\").replace("[", "\\[") + "]")
-            i = close + 1
-            continue
-        if c == "*":
-            out.append("[^/]*")
-        elif c == "?":
-            out.append("[^/]")
-        elif c == "{" and "}" in glob[i:]:
-            out.append("(?:")
-            depth += 1
-        elif c == "}" and depth:
-            out.append(")")
-            depth -= 1
-        elif c == "," and depth:
-            out.append("|")
-        else:
-            out.append(escaped(c))
-        i += 1
-    return "^" + "".join(out) + r"\z"
-
-
 def problem_with(pattern: str, flags: str | None) -> str | None:
     """Why an ECMAScript pattern isn't valid; None if it is. Judged by what will run, the translation in Java's engine, where
     there is a session; without one by Python's engine, which has the same syntax but for what is rewritten here."""
     flags = flags or ""
     if set(flags) - set("dgimsuvy") or len(set(flags)) != len(flags):
         return f"Invalid flags supplied to RegExp constructor '{flags}'"
-    if (context := SparkContext._active_spark_context) is not None:
-        try:
-            context._jvm.java.util.regex.Pattern.compile(java_regex(pattern, flags))
-        except (Py4JJavaError, IllegalArgumentException) as e:
-            return f"Invalid regular expression: /{pattern}/: {' '.join(str(e).split())}"
-        return None
     try:
-        re.compile(re.sub(r"\\[pP]\{[^}]*\}", "a", re.sub(r"\(\?<([A-Za-z_$][\w$]*)>", r"(?P<\1>", pattern)))
-    except re.error as e:
-        return f"Invalid regular expression: /{pattern}/: {e.msg}"
+        java = java_regex(pattern, flags)
+        if (context := SparkContext._active_spark_context) is not None:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        else:  # Python has the same syntax but for what is rewritten here
+            java = re.sub(r"\\k<(\w+)>", r"(?P=\1)", java)
+            re.compile(re.sub(r"\\[pP]\{[^}]*\}|\\x\{[^}]*\}", "a", re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", java)).replace(r"\z", r"\Z").replace(WS, r"\s"))
+    except (PatternError, re.error, Py4JJavaError, IllegalArgumentException) as e:
+        return f"Invalid regular expression: /{pattern}/: {' '.join(str(e).split())}"
     return None
+
+
+__all__ = ["NOT_WS", "SPACE", "SPACES", "WS", "PatternError", "escaped", "glob_regex", "java_regex", "phrase_regex", "problem_with"]

@@ -49,13 +49,45 @@ def test_white_space_is_the_same_everywhere(spark):
         assert (r["ws"], r["other"], r["trimmed"]) == (r["c"] in R.SPACES, r["c"] not in R.SPACES, r["c"] in R.SPACES), r
 
 
-def test_globs_and_phrases():
-    for glob, path, fits in (
-        ("**/*.instructions.md", "a/b/c.instructions.md", True), ("**/*.instructions.md", ".x.instructions.md", True), ("*.md", "a/b.md", False),
-        ("src/{a,b}/*.ts", "src/b/x.ts", True), ("**/.github/copilot-instructions.md", "x/.github/copilot-instructions.md", True),
-    ):
-        assert bool(re.match(R.glob_regex(glob).replace(r"\z", r"\Z"), path)) is fits
-    assert R.problem_with("(", "") and R.problem_with("a", "x") and not R.problem_with(r"\p{L}", "u")
+@pytest.mark.parametrize(
+    ("pattern", "flags", "text", "found"),
+    [
+        (r"[\Sa]+", "", "b c", ["b", "c"]), (r"[^\S\n]+", "", "a \t\n b", [" \t", " "]), (r"(?<a_b>x)(?<$c>y)\k<a_b>\k<$c>", "", "xyxy xyyx", ["xyxy"]), (r"\u{1F600}+", "u", "a😀😀b", ["😀😀"]),
+        (r"\uD83D\uDE00", "", "a😀", ["😀"]), (r"[\u{1F600}-\u{1F602}]", "u", "😀😃😁", ["😀", "😁"]), (r"\v", "", "a\x0bb\n", ["\x0b"]), (r"\A\h", "", "Ah", ["Ah"]), (r"a{|b}", "", "a{ b}", ["a{", "b}"]),
+        (r"[\d-x]+", "", "1-x w", ["1-x"]), (r"[\s-]+", "", "a -\t b", [" -\t "]), (r"[[&&b]+", "", "[&b", ["[&b"]), (r"[^]", "", "\n", ["\n"]), (r"[]|z", "", "z", ["z"]), (r"[\b]", "", "a\bb", ["\b"]),
+        (r"É", "i", "éÉ", ["é", "É"]), (r"k", "i", "kK\u212a", ["k", "K"]), (r"k", "iu", "kK\u212a", ["k", "K", "\u212a"]), (r"\p{Letter}+", "u", "aé1", ["aé"]), (r"\p{Script=Greek}+", "u", "aαβ", ["αβ"]), (r"\P{Lu}+", "u", "Ab", ["b"]),
+        (r"(a)(b)\2\1", "", "abba", ["abba"]), (r"^.$", "m", "a\u2028b\nc", ["a", "b", "c"]), (r"a.c", "s", "a\nc", ["a\nc"]), (r"a.c", "", "a\rc abc", ["abc"]), (r"x{2,}?", "", "xxx", ["xx"]), (r"\D\W\w", "", "- a", ["- a"]),
+        (r"(?:(?=a)a|(?<!c)b)", "", "abcb", ["a", "b"]), (r"[\W_]+", "", "a_-b", ["_-"]), (r"\x41\cJ", "", "A\n", ["A\n"]), (r"\/\-", "", "/-", ["/-"]),
+    ],
+)
+def test_patterns_find_what_they_are_meant_to(spark, pattern, flags, text, found):
+    assert R.problem_with(pattern, flags) is None
+    assert one(spark, F.regexp_extract_all("t", F.lit(R.java_regex(pattern, flags)), 0), t=text) == found
+
+
+def test_what_is_no_pattern(spark):
+    for pattern, flags in (("(", ""), (")", ""), ("[a", ""), ("a++", ""), ("*a", ""), ("(?i)a", ""), ("(?<1>a)", ""), (r"(?<a>x)\k<b>", ""), ("\\", ""), (r"\A", "u"), (r"\p{Nothing_Such}", "u"), ("a", "x"), ("a", "gg"), ("(?<=a*)b(", ""), ("|*", ""), ("b{2}{3}", "")):
+        assert R.problem_with(pattern, flags), pattern
+
+
+@pytest.mark.parametrize(
+    ("glob", "fits", "fits_not"),
+    [
+        ("**/*.instructions.md", "a/b/c.instructions.md .x.instructions.md x.instructions.md", "a.md x.instructions.md/y"), ("*.md", "b.md .md", "a/b.md"), ("src/{a,b}/*.ts", "src/b/x.ts", "src/c/x.ts src/{a,b}/x.ts"),
+        ("{a,{b,c}d}", "a bd cd", "b c d {a"), ("a/**", "a a/ a/b/c", "b ab"), ("a/**/b", "a/b a/x/b a/x/y/b", "ab a/xb"), ("a**b", "ab axb", "a/b"), ("**", "a a/b", ""), ("[!a]", "b", "a / bb"), ("[^a-c]x", "dx", "ax /x"),
+        ("[]a]", "] a", "b"), ("[a", "[a", "a"), ("{a", "{a", "a"), ("a}", "a}", "a"), ("{a}", "{a}", "a"), ("{}", "{}", ""), ("{1..3}", "1 2 3", "4 1..3"), ("{c..a}", "a b c", "d"), ("x{,y}", "x xy", "xz"), ("!(x)", "y xx", "x a/b"),
+        ("!(a|b).md", "c.md ab.md", "a.md b.md c.txt"), ("@(a|b)c", "ac bc", "c abc"), ("?(a)c", "c ac", "aac"), ("+(ab)", "ab abab", "a aba"), ("*(a|b)", "a abba", "c"), ("(a|b)?", "ax bx", "a"), (r"\*x", "*x", "ax"), ("a.b+$", "a.b+$", "aab+$ a.b"),
+        ("!*.md", "a.txt a/b.md", "a.md"), ("!!*.md", "a.md", "a.txt"), ("./a/*", "a/b", "b"), ("a?c", "abc", "ac a/c"), ("**.md", "a.md a/b.md", "a.txt"), ("{src,test/**}/x", "src/x test/a/x test/x", "x"), ("a/{**,b}/c", "a/x/y/c a/b/c", "a/c/d"),
+    ],
+)
+def test_globs(glob, fits, fits_not):
+    regex = re.compile(R.glob_regex(glob).replace(r"\z", r"\Z"))
+    assert [p for p in fits.split() if not regex.match(p)] == [] and [p for p in fits_not.split() if regex.match(p)] == []
+
+
+def test_usable_globs(spark):
+    for value, usable in (("a", True), (" ", False), ("{a", False), ("[a]]", False), ("{a,{b}}", True), ("x" * 65_536, True), ("x" * 65_537, False), ("😀" * 32_769, False)):
+        assert one(spark, T.is_glob(F.col("t")), t=value) is usable
 
 
 def test_text_columns(spark):
