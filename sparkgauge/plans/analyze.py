@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from itertools import zip_longest
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,26 @@ def file_kind(path: Column, criteria: dict) -> Column:
     return found
 
 
+def _stored_place(df: DataFrame) -> Column | None:
+    """Where a row is stored, by file and row, if ``df`` comes from a scan of Parquet files; it is the same in every scan."""
+    try:
+        place = df.metadataColumn("_metadata")
+        place = F.struct(place["file_path"].alias("file"), place["row_index"].alias("row"))
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def gather_findings(findings: DataFrame, path: str = "path") -> DataFrame:
-    """(path, ai_findings): the findings of each path as an array. A finding that comes later (by the column ``ord``, or
-    without one in the table) stands later; of several for one check the last counts."""
-    findings = findings if "ord" in findings.columns else findings.withColumn("ord", F.monotonically_increasing_id())
+    """(path, ai_findings): the findings of each path as an array. A finding that comes later stands later, and of several
+    for one check the last counts: by the column ``ord``; without one by the place where it is stored in Parquet files; of
+    other tables, whose rows have no order, by score, rationale and evidence. None of it depends on how rows are dealt to tasks."""
+    if "ord" not in findings.columns:
+        place = _stored_place(findings)
+        if place is None:
+            place = F.struct("score", *[F.col(c).cast("string") for c in ("rationale",) if c in findings.columns], *[F.to_json(c).alias("told") for c in ("evidence",) if c in findings.columns])
+        findings = findings.withColumn("ord", place)
     order = F.col("ord")
     one = F.struct(
         order.alias("ord"), "check_id", F.col("score").cast("double").alias("score"),

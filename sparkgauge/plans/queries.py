@@ -214,12 +214,20 @@ def evidence_blocks(spark, sf_dir):
     return _told(bullets(spark, sf_dir), M.block_length({"kind": "listItem", "limit": 60}, load_criteria()))
 
 
+#: Paths of every kind, by turns.
+PATHS = (
+    "a/.github/copilot-instructions.md", "x.instructions.md", "b\\.github\\copilot-instructions.md", "copilot-instructions.md", "a/x.instructions.md.txt", ".github/copilot-instructions.md",
+    ".github/copilot-instructions.md/x", "a/b.github/copilot-instructions.md", "/.github//copilot-instructions.md", "./.github/copilot-instructions.mdx",
+)
+
+
 def file_kinds(spark, sf_dir):
-    """(doc_id, file_kind, axis, total_checks): the kinds of files by path, and how many checks each has on an axis."""
-    names = ("a/.github/copilot-instructions.md", "x.instructions.md", "b\\.github\\copilot-instructions.md", "copilot-instructions.md", "a/x.instructions.md.txt", ".github/copilot-instructions.md")
-    docs = _docs(spark, sf_dir).select("doc_id", F.substring("content", 1, 40).alias("content"), _turn(names).alias("path"))
-    rows = analyze(docs, evidence=False, keep=("doc_id",)).select("doc_id", "file_kind", F.explode_outer("axis_scores").alias("a"))
-    return rows.select("doc_id", "file_kind", "a.axis", "a.total_checks")
+    """(doc_id, file_kind, axis, total_checks, tokens): documents under paths of either kind, how many checks each kind has on an
+    axis, and how long the whole text is."""
+    docs = _docs(spark, sf_dir).select("doc_id", "content", _turn(PATHS).alias("path"))
+    rows = analyze(docs, evidence=False, keep=("doc_id",)).select("doc_id", "file_kind", "measurements", F.explode_outer("axis_scores").alias("a"))
+    tokens = F.get(F.filter("measurements", lambda m: m["check_id"] == "cost.file-length"), F.lit(0))["value_num"]
+    return rows.select("doc_id", "file_kind", "a.axis", "a.total_checks", tokens.alias("tokens"))
 
 
 def _findings(spark, sf_dir) -> DataFrame:
@@ -539,12 +547,14 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern, k)
   trim(regexp_replace(shown, '[\\s\\x{{A0}}]+', ' ', 'g')) AS excerpt, hint FROM e"""
 
 
-_KINDS = ("repo-wide", "scoped", "repo-wide", "scoped", "scoped", "repo-wide")
-
-
 def _kinds_sql() -> str:
+    """Kinds by the path: the globs of the criteria as DuckDB reads them (its own glob() has no ** over folders)."""
     totals = [(kind, a["id"], sum(c["axis"] == a["id"] and (not c.get("appliesTo") or kind in c["appliesTo"]) for c in CHECKS)) for kind in ("repo-wide", "scoped") for a in load_criteria()["axes"]]
-    return f"WITH t(file_kind, axis, n) AS (VALUES {_rows(totals)}) SELECT doc_id, file_kind, axis, CAST(n AS INT) AS total_checks FROM (SELECT doc_id, {_sql_turn(_KINDS)} AS file_kind FROM documents) JOIN t USING (file_kind)"
+    kinds = " ".join(f"WHEN regexp_matches(path, '{regex}') THEN '{kind}'" for kind, regex in (("repo-wide", r"^(.*/)?\.github/copilot-instructions\.md$"), ("scoped", r"^(.*/)?[^/]*\.instructions\.md$")))
+    return (
+        f"WITH t(file_kind, axis, n) AS (VALUES {_rows(totals)}), p AS (SELECT doc_id, length(coalesce(text, '')) AS size, replace({_sql_turn(PATHS)}, chr(92), '/') AS path FROM documents), "
+        f"k AS (SELECT *, CASE {kinds} ELSE 'scoped' END AS file_kind FROM p) SELECT doc_id, file_kind, axis, CAST(n AS INT) AS total_checks, ceil(size / 4.0) AS tokens FROM k JOIN t USING (file_kind)"
+    )
 
 
 _CHECK_SQL = {

@@ -10,7 +10,7 @@ from sparkgauge.plans.analyze import analyze
 
 def read_document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """(path, content) of the files that arrive in ``folder``."""
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
