@@ -6,6 +6,7 @@ pattern finds the same in Spark as where it was written for.
 
 from __future__ import annotations
 
+import os
 import re
 
 from py4j.protocol import Py4JJavaError
@@ -217,6 +218,50 @@ def phrase_regex(phrase: str) -> str:
     return rf"(?iu)(?<![\p{{L}}-]){escaped(phrase.strip())}(?![\p{{L}}-])"
 
 
+def phrases_regex(phrases: list[str]) -> str:
+    """A place before which no letter or hyphen stands and at which one of the phrases does, as group 1; for a text in lower case.
+    Only the character before is taken, so that phrases may overlap. None of them may be the beginning of another."""
+
+    def trie(words: list[str]) -> str:
+        if len(words) == 1:
+            return escaped(words[0])
+        shared = os.path.commonprefix(words)
+        rest: dict[str, list[str]] = {}
+        for w in words:
+            rest.setdefault(w[len(shared) : len(shared) + 1], []).append(w[len(shared) :])
+        return escaped(shared) + "(?:" + "|".join(trie(ws) for ws in rest.values()) + ")"
+
+    return rf"(?:\A|[^\p{{L}}-])(?=({trie(sorted(phrases))})(?![\p{{L}}-]))"
+
+
+def required_text(pattern: str, flags: str = "") -> str:
+    """The longest text that stands in every match of an ECMAScript pattern; empty if none is evident. A text without it
+    needn't be searched."""
+    runs, run, depth = [], "", 0
+    token = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?<?[:=!]?|[*+?]\??|\{\d+(?:,\d*)?\}\??|.", re.S)
+    for m in token.finditer(pattern):
+        c = m[0]
+        if c == "|" and not depth:
+            return ""
+        repeated = c[0] in "*+?" or len(c) > 1 and c[0] == "{"
+        plain = len(c) == 1 and c not in "|^$.()" or len(c) == 2 and c[0] == "\\" and not c[1].isalnum()
+        if depth or c[0] == "(":
+            depth += (c[0] == "(") - (c == ")")
+        elif repeated:
+            runs.append(run[:-1] if c[0] in "*?" or c.startswith("{0") else run)
+            run = ""
+            continue
+        elif plain:
+            run += c[-1]
+            continue
+        runs.append(run)
+        run = ""
+    runs.append(run)
+    if "i" in flags:
+        runs = [part for r in runs for part in re.split(r"[^\W\d_]+", r)]
+    return max(runs, key=len, default="")
+
+
 def problem_with(pattern: str, flags: str | None) -> str | None:
     """Why an ECMAScript pattern isn't valid; None if it is. Judged by what will run, the translation in Java's engine, where
     there is a session; without one by Python's engine, which has the same syntax but for what is rewritten here."""
@@ -235,4 +280,4 @@ def problem_with(pattern: str, flags: str | None) -> str | None:
     return None
 
 
-__all__ = ["NOT_WS", "SPACE", "SPACES", "WS", "PatternError", "escaped", "glob_regex", "java_regex", "phrase_regex", "problem_with"]
+__all__ = ["NOT_WS", "SPACE", "SPACES", "WS", "PatternError", "escaped", "glob_regex", "java_regex", "phrase_regex", "phrases_regex", "problem_with", "required_text"]

@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sparkgauge import cli
@@ -70,6 +71,34 @@ def test_what_is_no_pattern(spark):
         assert R.problem_with(pattern, flags), pattern
 
 
+def test_all_phrases_in_one_pass(spark):
+    rng = random.Random(4)
+    sets = {"w": ["etc.", "as appropriate", "appropriate", "As", "not", "do not", "never ever never", "a a", "c++", "Not", "e.g.", "well-known", "non", "non-empty", "größe"]}
+    criteria = COPILOT | {"sets": {"words": sets, "patterns": {}}}
+    pool = ["etc.", "etc", "as", "appropriate", "NOT", "do", "not", "never", "ever", "a", "c++", "-", "non", "-empty", "e.g.", "well-known", "GRÖSSE", "Größe", "x", ",", "(", "1", "\n"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", " ", "", "_", "'"]) for _ in range(60)) for _ in range(40)] + ["", "not", "not not", "xnot not-"]
+    df = M.prepare(spark.createDataFrame([(t,) for t in texts], "content string"), "content")
+    density, marker = M.word_density({"wordSet": "w", "per": 1}, criteria), M.marker_presence({"wordSet": "w"}, criteria)
+    rows = df.select("prose", F.size("prose_words").alias("n"), density.alias("d"), marker.alias("m")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts = [(p, len(regex.findall(rf"(?i)(?<![\p{{L}}-]){regex.escape(p, special_only=True)}(?![\p{{L}}-])", r["prose"]))) for p in sets["w"]]
+        found = [(p, n) for p, n in counts if n]
+        assert r["m"]["bool"] is bool(found)
+        assert r["m"]["evidence"][0]["hint"] == ("says: " + ", ".join(p for p, _ in found[:5]) if found else "none of the words looked for")
+        if r["n"]:
+            assert round(r["d"]["num"] * r["n"]) == sum(n for _, n in found), r["prose"]
+            assert [(e["excerpt"], e["hint"]) for e in r["d"]["evidence"]] == [(p, f"{n}×") for p, n in sorted(found, key=lambda x: -x[1])[:8]]
+
+
+def test_texts_that_every_match_holds():
+    for pattern, flags, text in (
+        ("sk-[A-Za-z0-9]{20,}", "", "sk-"), ("a|b", "", ""), ("(a|b)cd+e?fg*", "", "cd"), (r"x\.y[.]zzz", "", "x.y"), (r"\+49[\s\d]", "", "+49"), ("ab{0,3}c", "", "a"), ("-----BEGIN [A-Z ]*KEY-----", "", "-----BEGIN "),
+        ("AbC://x", "i", "://"), (r"\d\w", "", ""), ("(?:abc)?(?=q)r", "", "r"), (r"[A-Za-z]+@(?!example\.(com|org))[a-z]+", "", "@"), ("", "", ""), ("a{2}b", "", "a"),
+    ):
+        assert R.required_text(pattern, flags) == text, pattern
+
+
 @pytest.mark.parametrize(
     ("glob", "fits", "fits_not"),
     [
@@ -147,8 +176,6 @@ def test_measures(spark):
 
 def told_plainly(text, patterns):
     """(line, excerpt) of every hit, by plain slicing."""
-    import regex
-
     out = []
     for pattern in patterns:
         for m in regex.finditer(pattern, text):
