@@ -43,6 +43,8 @@ TILE, BAND = 1024, 100 / PERCENT
 SMALL = 64
 #: Turns in which a tile gives a forest of its pairs, before it gives all that are then left.
 FOREST_TURNS = 2
+#: Times that sets are named, should two get the same name. Of 10^10 sets some 3 pairs do, and hardly any a second time.
+SEEDS = 4
 #: Words whose hashes a Python worker remembers.
 REMEMBERED_WORDS = 200_000
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHINGLE + 1)]
@@ -105,36 +107,38 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, file, row, n, node, shingles): a row per row of ``docs``. ``file`` and ``row`` are its place, ``node`` is a 64-bit
-    hash of the set, null for an empty one; a task gives the shingles of a node once only."""
+def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(id, file, row, n, node, check, shingles): a row per row of ``docs``. ``file`` and ``row`` are its place, ``node`` and
+    ``check`` the halves of a 128-bit hash of the set, null for an empty one; a task gives the shingles of a node once only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _kept_hashes(), set()
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                sizes, nodes, sets = [], [], []
+                sizes, nodes, checks, sets = [], [], [], []
                 for text in batch.column(3).cast(pa.binary()):
                     own = shingle_set(text.as_py(), hashes)
                     data = own.tobytes()
-                    node = _signed(xxhash.xxh3_64_intdigest(data)) if len(own) else None
+                    both = xxhash.xxh3_128_intdigest(data, seed)
+                    node = _signed(both & ((1 << 64) - 1)) if len(own) else None
                     sizes.append(len(own))
                     nodes.append(node)
+                    checks.append(_signed(both >> 64) if len(own) else None)
                     sets.append(None if node is None or node in seen else data)
                     seen.add(node)
-                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "file", "row", "n", "node", "shingles"])
+                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "file", "row", "n", "node", "check", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     docs, file, row = located(docs)
     rows = docs.select(F.col(id_col).alias("id"), file.alias("file"), row.alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, file long, row long, n long, node long, shingles binary")
+    return rows.mapInArrow(run, f"id {kind}, file long, row long, n long, node long, check long, shingles binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
     """How often each hash bucket occurs, 0 for those that aren't frequent. Of fixed size."""
-    size = 1 << SKETCH_BITS
+    size, least, times = 1 << SKETCH_BITS, SKETCH_LEAST, SKETCH_TIMES  # as the driver has them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
@@ -145,7 +149,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
                     counts += np.bincount(own.astype(np.int64), minlength=size)
                 else:
                     np.add.at(counts, own.astype(np.int64), 1)
-        often = np.flatnonzero(counts >= max(SKETCH_LEAST, SKETCH_TIMES * counts.mean()))
+        often = np.flatnonzero(counts >= max(least, times * counts.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], ["bucket", "times"])
 
     found = sets.select("shingles").mapInArrow(run, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
@@ -273,7 +277,7 @@ def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
     in ``comp``, could be alike by size, and whose bitmaps allow the overlap. A small tile gives all of them; a larger one,
     with a ``turn``, a forest, which spans what they join and has fewer pairs than the tile has rows (turns differ in which
     pairs they take). ``key`` and ``band`` say where a pair was found. Tiles come one after the other in the sorted rows of a partition; one of them is held at a time."""
-    tile = ["key", "band", "low", "high"]
+    tile, small = ["key", "band", "low", "high"], SMALL
 
     def pairs_in(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
         node, n, comp, chunk, home, low, high = (rows.column(c).to_numpy() for c in ("node", "n", "comp", "chunk", "home", "low", "high"))
@@ -284,7 +288,7 @@ def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
         a_out, b_out = [], []
         place, root = np.arange(len(node)), comp.copy()
         rows_of = np.flatnonzero(chunk == low[0])
-        forest = turn is not None and len(node) > SMALL
+        forest = turn is not None and len(node) > small
         for i in rows_of[::-1] if forest and turn % 2 else rows_of:
             other = (chunk == high[0]) & (root != root[i]) & ((home | home[i]) > 0) & could_be_alike(n, n[i], 0)
             if low[0] == high[0] and not forest:
@@ -424,7 +428,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that a row reaches by links. Null and empty texts have no shingles and stay alone. A null id is never a
     component's id, unless all of the component's are null; repeated rows link with each other. Texts of any length are read
     whole, further columns of any name aren't looked at, and an empty table gives an empty one. Sets are sets of 64-bit
-    hashes, and equal sets are known by a 64-bit hash.
+    hashes, and equal sets are known by a 128-bit hash: nodes are named by half of it, and named anew should different sets
+    get one name.
     """
     return _placed(docs, id_col, text_col).drop("file", "row")
 
@@ -432,8 +437,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 @settled("components")
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, file, row, n_shingles, component_id) for each row of ``docs``."""
-    shingled = cut(shingle_table(docs, id_col, text_col), "shingles")
-    classes = shingled.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"))
+    for seed in range(SEEDS):
+        shingled = cut(shingle_table(docs, id_col, text_col, seed), "shingles")
+        classes = shingled.filter("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), (F.min("check") < F.max("check")).alias("mixed"))
+        classes = cut(classes, "sets")
+        if classes.filter("mixed").isEmpty():
+            break
+    classes = classes.select("node", "least_id")
     comps = similar_groups(shingled)
     known = cut(classes.join(comps, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp")), "classes")
     tops = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -161,19 +161,37 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"doc_id {kind}, file long, row long, x array<float>")
 
 
+def _chosen(rows: DataFrame, max_rows: int) -> Column:
+    """Which ``rows`` (hash) are taken: all, or those with the least hashes, ``max_rows`` at most and half of that at least.
+
+    Where the line lies is found by counts of classes of hashes, 2^HASH_CLASSES at a time: the first class that doesn't fit
+    is divided again. So one class may hold any number of rows. (Only rows with the same hash can't be divided.)"""
+    prefix, taken, shift = 0, 0, 64
+    while shift >= HASH_CLASSES:
+        within = rows if shift == 64 else rows.filter(F.shiftrightunsigned("hash", shift) == prefix)
+        shift -= HASH_CLASSES
+        counts = within.groupBy(F.shiftrightunsigned("hash", shift).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+        line = None
+        for r in counts.orderBy("class").collect():  # 2^HASH_CLASSES rows at most
+            if taken + r["n"] > max_rows:
+                line = r["class"]
+                break
+            taken += r["n"]
+        if line is None:
+            return F.lit(True)
+        prefix = line
+        if 2 * taken >= max_rows:
+            break
+    return F.shiftrightunsigned("hash", shift) < prefix
+
+
 def training_rows(features: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The statistics and labels of the labelled rows of ``features`` that aren't held out: all, or ``max_rows`` at most,
-    those in the first classes of hashes. Which classes is decided by counts, so no task sees more than its own rows."""
+    """The statistics and labels of the labelled rows of ``features`` that aren't held out: all, or of more than ``max_rows``
+    those with the least hashes, at least half as many as allowed. Which is decided by counts, so no task sees more than its own rows."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = features.filter(~held_out()).join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id", "row"))
-    rows = rows.withColumn("class", F.shiftrightunsigned("hash", 64 - HASH_CLASSES))
-    taken, classes = 0, 0
-    for r in rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect():  # 2^HASH_CLASSES rows at most
-        if taken + r["n"] > max_rows:
-            break
-        taken, classes = taken + r["n"], r["class"] + 1
-    got = rows.filter(F.col("class") < classes).select("hash", "x", "label").toArrow()
+    got = rows.filter(_chosen(rows, max_rows)).select("hash", "x", "label").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got.column("hash").to_numpy()))
     return x[order], (got.column("label").to_numpy()[order] > 0).astype(float)
@@ -207,7 +225,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``; same columns. Only scores are written, no text is moved."""
+    """``docs`` without the rows that score under ``threshold``; same columns. Only scores are written, no text is moved.
+
+    Rows on the threshold stay, and so do rows with null ids that score well; null and empty texts are scored like others,
+    repeated rows alike. Without any label every score is a half, so all rows stay. An empty table gives an empty one."""
     docs, file, row = located(docs)
     scored = score_documents(docs, labels, text_col=text_col)
     return without_rows(docs, file, row, scored.filter(F.col("score") < threshold))

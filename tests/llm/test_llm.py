@@ -88,13 +88,60 @@ def key(r):
     return tuple((x is not None, x) for x in r)
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
-def test_near_duplicates(docs, rows, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "small"), [(1024, 64), (1024, 2), (3, 2)])
+def test_near_duplicates(docs, rows, tile, small, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     found = [tuple(r) for r in ngram_join.near_duplicates(docs).collect()]
     assert sorted(found, key=key) == sorted(brute_components(rows), key=key)
 
 
+@pytest.mark.parametrize(("tile", "small"), [(16, 2), (64, 8)])
+def test_near_duplicates_under_a_shared_rare_shingle(spark, tile, small, monkeypatch):
+    """Groups of 200 unlike texts that share a shingle which is rare elsewhere, with chains of near copies in them: bands, chunks,
+    forests, turn 1 and the last turn all run."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "SKETCH_LEAST", 10**9)  # nothing counts as frequent, so the shared shingles are in prefixes
+    rng, rows = random.Random(11), []
+    boiler = [" ".join(f"b{g}w{i}" for i in range(24)) for g in range(2)]
+    for g in range(2):
+        for i in range(200):
+            own = [f"x{rng.randint(0, 10**6)}" for _ in range(rng.choice([60, 90, 130]))]
+            rows.append((1000 * g + i, f"{boiler[g]} {' '.join(own)}"))
+        base = [f"c{g}n{i}" for i in range(100)]
+        for i in range(40):  # each a word further from the first: the ends are linked through those between
+            base[(7 * i) % 100] = f"d{g}n{i}"
+            rows.append((1000 * g + 300 + i, f"{boiler[g]} {' '.join(base)}"))
+    rng.shuffle(rows)
+    ran, pairs_of = [], ngram_join._residual_pairs
+
+    def noted(groups, comps, nodes, turn, places):
+        found = pairs_of(groups, comps, nodes, turn, places)
+        ran.append((turn, groups.agg(F.max("size")).first()[0]))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_residual_pairs", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = [tuple(r) for r in ngram_join.near_duplicates(df).collect()]
+    assert sorted(found) == sorted(brute_components(rows))
+    assert max(n for _, n in ran) >= 200 and ran[0][0] == 0
+    assert len({c for _, _, c in found}) < len(rows) - 60
+
+
+def test_sets_with_the_same_name_are_named_anew(docs, rows, monkeypatch):
+    seeds, made = [], ngram_join.shingle_table
+
+    def weakly(docs, id_col, text_col, seed):
+        seeds.append(seed)
+        table = made(docs, id_col, text_col, seed)
+        return table.withColumn("node", F.when(F.col("node").isNotNull(), F.pmod("node", F.lit(16)))) if seed == 0 else table
+
+    monkeypatch.setattr(ngram_join, "shingle_table", weakly)
+    found = [tuple(r) for r in ngram_join.near_duplicates(docs).collect()]
+    assert sorted(found, key=key) == sorted(brute_components(rows), key=key) and seeds == [0, 1]
+
+
 def test_keep_first(docs, rows, spark, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     kept = ngram_join.keep_first(spark.read.parquet(str(tmp_path / "d")))
@@ -305,14 +352,19 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_documents(df, labels.filter("false")).collect()} == {0.5}
 
 
-def test_quality_learns_from_a_bounded_part(spark):
+def test_quality_learns_from_a_bounded_part(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(7, "again"), (7, "again")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(7, 0), (8, 1)], "doc_id long, quality int")
     features = quality.document_features(docs)
     x, y = quality.training_rows(features, labels)
     assert len(x) == len(y) == features.filter(~quality.held_out()).count() and x.shape[1] == len(quality.FEATURES)
     some, _ = quality.training_rows(features, labels, max_rows=100)
-    assert 50 < len(some) <= 100
+    assert 50 <= len(some) <= 100
+    monkeypatch.setattr(quality, "HASH_CLASSES", 4)  # every class holds more than is allowed
+    some, _ = quality.training_rows(features, labels, max_rows=100)
+    assert 50 <= len(some) <= 100
+    least, _ = quality.training_rows(features, labels, max_rows=1)
+    assert len(least) == 1
 
 
 def test_trees_against_a_naive_search(monkeypatch):
