@@ -340,6 +340,31 @@ def report_jsons(spark, sf_dir):
     return _reports(spark, sf_dir, evidence=True).select("doc_id", report_json(pretty=False).alias("report"))
 
 
+def _long(spark, sf_dir):
+    """(scores in long layout, tables) of the Markdown view, with a model's findings."""
+    from sparkgauge.plans.long import criteria_tables, long_scores
+
+    criteria = load_criteria()
+    tables = criteria_tables(spark, {"copilot": criteria})
+    rows = _reports(spark, sf_dir)
+    measured = rows.select(F.col("doc_id").alias("id"), F.explode_outer("measurements").alias("m")).select("id", "m.check_id", "m.value_num", "m.value_bool")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit("copilot").alias("criteria"), F.lit("scoped").alias("kind"))
+    found = requested(_findings(spark, sf_dir), pending_ai_checks(criteria, "scoped")).select(F.col("path").cast("long").alias("id"), "check_id", "score")
+    return long_scores(docs, measured, tables, found), tables
+
+
+def long_check_scores(spark, sf_dir):
+    scores, _ = _long(spark, sf_dir)
+    return scores.select(F.col("id").alias("doc_id"), "check_id", "axis", "applicable", "score")
+
+
+def long_reports(spark, sf_dir):
+    from sparkgauge.plans.long import long_axes, long_overall
+
+    scores, tables = _long(spark, sf_dir)
+    return long_overall(long_axes(scores), tables).select(F.col("id").alias("doc_id"), "overall_score", "capped_from")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -348,6 +373,7 @@ QUERIES = {
         frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, injection, headings_hostile, bullets_hostile, evidence_hits, evidence_pii, evidence_duplicates, evidence_headings, evidence_blocks,
         file_kinds, reports_with_findings, measurements, findings_requested, findings_missing,
         reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, measurements_told, report_texts, report_jsons, report_json_scores,
+        long_check_scores, long_reports,
     )
 }
 
@@ -789,4 +815,8 @@ LEFT JOIN (SELECT doc_id, check_id, count(*) AS n FROM told GROUP BY ALL) e ON e
     )
 
 
+ORACLES |= {
+    "long_check_scores": _report_sql("SELECT s.doc_id, s.check_id, c.axis, s.applicable, s.score FROM scores s JOIN checks c USING (check_id)", more=_FOUND),
+    "long_reports": _report_sql(f"{_CAPPED} FROM final", more=_FOUND),
+}
 ORACLES |= {"measurements_told": _redacted_told(_told_sql()), "report_texts": _text_sql(), "report_json_scores": _json_sql()}

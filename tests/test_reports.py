@@ -97,3 +97,53 @@ def test_null_and_empty_content(spark):
 def test_extra_columns_stay(docs):
     found = analyze(docs.withColumn("raw", F.lit(7)).withColumn("body", F.lit("x")), keep=("raw",))
     assert {r["raw"] for r in found.select("raw").collect()} == {7}
+
+
+def test_long_layout_judges_each_row_by_its_own_criteria(docs, spark):
+    import copy
+
+    from sparkgauge.plans.criteria import load_criteria
+    from sparkgauge.plans.long import criteria_tables, long_axes, long_overall, long_scores
+
+    mild = load_criteria()
+    strict = copy.deepcopy(mild)
+    for c in strict["checks"]:
+        c["weight"] += len(c["id"]) % 3
+        if c["id"] == "completeness.examples":
+            c["requires"] = ["clarity.filler-words", "structure.headings"]
+        if c["id"] == "cost.redundancy":
+            c["requires"] = ["completeness.examples"]
+        if c["id"] == "completeness.dos-and-donts":
+            c["requires"] = ["completeness.dos-and-donts"]
+    strict["security"] = strict["security"] | {"blockerCapsOverallAt": 30}
+    sets, presets = {"mild": mild, "strict": strict}, {"mild": "balanced", "strict": "cost"}
+    findings = spark.createDataFrame([(p, c, s + i) for i, p in enumerate(DOCS) for c, s in FINDINGS.items()], "path string, check_id string, score double")
+    wide = {name: analyze(docs, c, presets[name], findings=findings, evidence=False).persist() for name, c in sets.items()}
+    tables = criteria_tables(spark, sets, presets)
+    rows, measured, found = [], [], []
+    for name, df in wide.items():
+        tagged = df.withColumn("id", F.concat(F.lit(f"{name}:"), "path"))
+        rows.append(tagged.select("id", F.lit(name).alias("criteria"), F.col("file_kind").alias("kind")))
+        measured.append(tagged.select("id", F.explode_outer("measurements").alias("m")).select("id", "m.check_id", "m.value_num", "m.value_bool"))
+        found.append(findings.select(F.concat(F.lit(f"{name}:"), "path").alias("id"), "check_id", "score"))
+    odd = spark.createDataFrame([("x", "nothing", "scoped"), (None, "mild", "scoped"), ("bare", "mild", "scoped")], "id string, criteria string, kind string")
+    scores = long_scores(rows[0].union(rows[1]).union(odd), measured[0].union(measured[1]), tables, found[0].union(found[1])).persist()
+    axes = long_axes(scores)
+    told = {(r["id"], r["check_id"]): (r["axis"], r["applicable"], r["score"]) for r in scores.collect()}
+    by_axis = {(r["id"], r["axis"]): (r["score"], r["check_count"], r["total_checks"]) for r in axes.collect()}
+    overall = {r["id"]: (r["overall_score"], r["capped_from"]) for r in long_overall(axes, tables).collect()}
+    bare = {k for k in told if k[0] == "bare"}
+    assert bare and not any(told[k][1] for k in bare) and overall.pop("bare") == (0, None) and "x" not in overall
+    for name, df in wide.items():
+        for r in df.collect():
+            own = f"{name}:{r['path']}"
+            assert overall.pop(own) == (r["overall_score"], r["capped_from"])
+            assert {a["axis"]: (a["score"], a["check_count"], a["total_checks"]) for a in r["axis_scores"]} == {k[1]: v for k, v in by_axis.items() if k[0] == own}
+            assert {c["check_id"]: (c["axis"], c["applicable"], c["score"]) for c in r["check_scores"]} == {k[1]: v for k, v in told.items() if k[0] == own}
+    assert not overall
+    assert long_scores(odd.filter("false"), measured[0].filter("false"), tables).count() == 0
+    given = [rows[0].union(rows[1]), measured[0].union(measured[1])]
+    for i, df in enumerate(given):
+        given[i] = spark.createDataFrame(df.collect(), df.schema)
+    plan = long_overall(long_axes(long_scores(*given, tables)), tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2 and "SortMergeJoin" not in plan
