@@ -176,7 +176,10 @@ def _contaminated(docs: DataFrame, place: Column, items: DataFrame, text_col: st
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in which a window of an item occurs; same columns. No text is shuffled."""
+    """``docs`` without the rows in which a window of an item occurs; same columns. No text is shuffled.
+
+    Rows without words stay (null, empty), texts of any length are read whole, each repeated row is judged alike, and null
+    ids don't matter. Items without words have no window; without items, or documents, nothing goes."""
     docs, file, row = located(docs)
     gone = _contaminated(docs, F.struct(file.alias("file"), row.alias("row")), items, text_col, item_col, item_text_col)
     return without_rows(docs, file, row, gone)

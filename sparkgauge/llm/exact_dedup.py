@@ -99,7 +99,10 @@ def _copies(docs: DataFrame, place: Column, id_col: str, text_col: str, prefix_c
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bits: int = FILTER_BITS) -> DataFrame:
-    """``docs`` without the rows that exact_groups() doesn't keep; same columns. Only hashes and places are shuffled."""
+    """``docs`` without the rows that exact_groups() doesn't keep; same columns. Only hashes and places are shuffled.
+
+    Null texts are like empty ones, so one row of both stays; of rows with the largest id, or of rows that all have a null one, it is
+    the one stored last. An empty table gives an empty one."""
     docs, file, row = located(docs)
     gone = _copies(docs, F.struct(file.alias("file"), row.alias("row")), id_col, text_col, prefix_chars, bits)
     return without_rows(docs, file, row, gone)

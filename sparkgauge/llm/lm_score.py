@@ -15,7 +15,8 @@ as large as the block:
    hash and summed over all blocks; how often the others have them is written back. Bigrams go first, then trigrams;
 3. documents and counts meet by block, which builds its part of the automaton and walks it.
 
-A hash goes to one range however often it occurs, with one row per block at most, so frequent words are no hot keys.
+A hash goes to one range however often it occurs, with one row per block at most: a frequent word costs its range as many rows
+as there are blocks, not as many as it has occurrences.
 """
 
 from __future__ import annotations

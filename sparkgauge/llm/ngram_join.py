@@ -456,7 +456,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, the one whose place in the
-    stored table comes first); rows without shingles all stay, and so does a component without an id. Same columns."""
+    stored table comes first); rows without shingles (null, empty, white space alone) all stay, and so does a component without an id. Same columns; an
+    empty table gives an empty one."""
     docs, file, row = located(docs)
     linked = _placed(docs, id_col, text_col).filter("n_shingles > 0 and component_id is not null")
     first = linked.groupBy("component_id").agg(F.min(F.when(F.col("id") == F.col("component_id"), F.struct("file", "row"))).alias("keep"))

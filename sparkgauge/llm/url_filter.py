@@ -41,7 +41,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, as text, and its verdict; null if none does."""
+    """The longest rule that fits, as text, and its verdict; of rules of equal length the one given last; null if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
