@@ -215,7 +215,7 @@ def test_repeated_lines_name_the_first(spark):
 
 
 def test_evidence_of_long_texts_is_linear(spark):
-    n, times = 40_000, []
+    n, times = 20_000, []
     texts = {
         "duplicateLines": ("\n".join(f"a line that is long enough to count {i % (n // 2)}" for i in range(n)), {}, n // 2),
         "headingStructure": ("\n".join(f"{'#' * (1 + 2 * (i % 3))} h {i}" for i in range(n // 4)), {}, None),
