@@ -365,6 +365,15 @@ def long_reports(spark, sf_dir):
     return long_overall(long_axes(scores), tables).select(F.col("id").alias("doc_id"), "overall_score", "capped_from")
 
 
+def corpus_rollup(spark, sf_dir):
+    """Scores by source and language, by source, by language and of all documents."""
+    from sparkgauge.plans.rollup import roll_up, score_histogram
+
+    docs = markdown(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".instructions.md")))
+    reports = analyze(docs, evidence=False, keep=("source", "lang"))
+    return roll_up(score_histogram(reports, ["source", "lang"]), ["source", "lang"], [["source", "lang"], ["source"], ["lang"], []])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -373,7 +382,7 @@ QUERIES = {
         frontmatter_valid, apply_to_present, apply_to_valid, apply_to_scoped, injection, headings_hostile, bullets_hostile, evidence_hits, evidence_pii, evidence_duplicates, evidence_headings, evidence_blocks,
         file_kinds, reports_with_findings, measurements, findings_requested, findings_missing,
         reports_security_preset, axis_scores, check_scores, top_fixes, grades_by_source, measurements_told, report_texts, report_jsons, report_json_scores,
-        long_check_scores, long_reports,
+        long_check_scores, long_reports, corpus_rollup,
     )
 }
 
@@ -818,5 +827,11 @@ LEFT JOIN (SELECT doc_id, check_id, count(*) AS n FROM told GROUP BY ALL) e ON e
 ORACLES |= {
     "long_check_scores": _report_sql("SELECT s.doc_id, s.check_id, c.axis, s.applicable, s.score FROM scores s JOIN checks c USING (check_id)", more=_FOUND),
     "long_reports": _report_sql(f"{_CAPPED} FROM final", more=_FOUND),
+    "corpus_rollup": _report_sql(
+        """SELECT source, lang, concat_ws(',', CASE WHEN grouping(source) = 0 THEN 'source' END, CASE WHEN grouping(lang) = 0 THEN 'lang' END) AS level, axis, count(*) AS documents, avg(score) AS mean,
+  quantile_disc(score, 0.1) AS p10, quantile_disc(score, 0.5) AS p50, quantile_disc(score, 0.9) AS p90
+FROM (SELECT doc_id, axis, score FROM axes WHERE check_count > 0 UNION ALL SELECT doc_id, 'overall', overall_score FROM final) s JOIN documents USING (doc_id)
+GROUP BY GROUPING SETS ((source, lang, axis), (source, axis), (lang, axis), (axis))"""
+    ),
 }
 ORACLES |= {"measurements_told": _redacted_told(_told_sql()), "report_texts": _text_sql(), "report_json_scores": _json_sql()}
