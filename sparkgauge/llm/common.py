@@ -20,8 +20,8 @@ _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("sparkgauge_tables", default=None)
 
-#: Rows in an Arrow batch at most: texts are long, and a batch is held more than once on its way.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch at most: texts and sets are long, and a batch is held more than once on its way.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bits of a Spark bitmap, and bitmaps of row numbers (4 KB each) that are broadcast at most.
 BITMAP_BITS, BROADCAST_BITMAPS = 32768, 20_000
 
@@ -82,6 +82,7 @@ def cut(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     While it is written, batches hold ``rows`` rows at most; its shuffle files go as soon as it is there."""
     spark = df.sparkSession
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": rows}
+    wanted["spark.sql.execution.arrow.maxBytesPerBatch"] = BATCH_BYTES
     wanted["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] = True
     path = own_folder(spark, name)
     with _settings(spark, {k: str(v).lower() for k, v in wanted.items()}):

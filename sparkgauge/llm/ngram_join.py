@@ -46,7 +46,7 @@ FOREST_TURNS = 2
 #: Times that sets are named, should two get the same name. Of 10^10 sets some 3 pairs do, and hardly any a second time.
 SEEDS = 4
 #: Words whose hashes a Python worker remembers.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, SHINGLE + 1)]
 
 
