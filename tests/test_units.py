@@ -330,3 +330,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check", str(tmp_path / "none.md")], spark) == 1
     assert cli.main(["check", str(file), "--no-ai", "-p", "x"], spark) == 1
     assert "there is no file" in capsys.readouterr().err
+
+
+def test_a_provider_from_the_environment(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# a comment\nexport SPARKGAUGE_KEY='secret one'\nSPARKGAUGE_PROVIDER=json:loads\nbad line\n1x=2\nOTHER = 3\n")
+    monkeypatch.delenv("SPARKGAUGE_KEY", raising=False)
+    monkeypatch.delenv("SPARKGAUGE_PROVIDER", raising=False)
+    env = cli.environment(str(tmp_path))
+    assert (env["SPARKGAUGE_KEY"], env["SPARKGAUGE_PROVIDER"], env["OTHER"]) == ("secret one", "json:loads", "3") and "1x" not in env
+    assert cli.provider_of({"SPARKGAUGE_PROVIDER": "json:loads", "SPARKGAUGE_KEY": "[7]"}) == [7]
+    assert cli.provider_of({"SPARKGAUGE_PROVIDER": "json:loads"}) is None and cli.provider_of({}) is None
+    monkeypatch.setenv("OTHER", "4")
+    assert cli.environment(str(tmp_path))["OTHER"] == "4" and "SPARKGAUGE_KEY" not in cli.environment(str(tmp_path / "none"))
+    with pytest.raises(AttributeError):
+        cli.provider_of({"SPARKGAUGE_PROVIDER": "json:nothing", "SPARKGAUGE_KEY": "k"})
