@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkgauge.llm.common import BITMAP_BITS, cut, located, settled, table, without_rows, worker_cache
+from sparkgauge.llm.common import BITMAP_BITS, cut, frugal, located, settled, table, without_rows, worker_cache
 from sparkgauge.llm.exact_dedup import _occurs_once, _with_flag
 from sparkgauge.llm.graph import components
 
@@ -133,7 +133,7 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     docs, file, row = located(docs)
     rows = docs.select(F.col(id_col).alias("id"), file.alias("file"), row.alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, file long, row long, n long, node long, check long, shingles binary")
+    return rows.mapInArrow(frugal(run), f"id {kind}, file long, row long, n long, node long, check long, shingles binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -152,7 +152,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         often = np.flatnonzero(counts >= max(least, times * counts.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(counts[often], pa.int64())], ["bucket", "times"])
 
-    found = sets.select("shingles").mapInArrow(run, "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
+    found = sets.select("shingles").mapInArrow(frugal(run), "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
     counts = np.zeros(size, np.uint32)
     for r in found.toLocalIterator():  # at most 2^SKETCH_BITS rows
         counts[r["bucket"]] = min(r["times"], (1 << 32) - 1)
@@ -185,7 +185,7 @@ def _prefixes(sets: DataFrame, counts, asked=None) -> DataFrame:
                     columns = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int")
+    return sets.select("node", "shingles").mapInArrow(frugal(run), "key long, node long, n int")
 
 
 def _bits_of(keys: DataFrame) -> np.ndarray:
@@ -205,7 +205,7 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
             maps = [bitmap_of(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(maps, pa.binary())], ["node", "n", "bitmap"])
 
-    return sets.select("node", "n", "shingles").mapInArrow(run, "node long, n long, bitmap binary")
+    return sets.select("node", "n", "shingles").mapInArrow(frugal(run), "node long, n long, bitmap binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(frugal(run), "a long, b long")
 
 
 def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     near = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * PERCENT)
-    return pairs.filter(near).select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long")
+    return pairs.filter(near).select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _checked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,7 +333,7 @@ def _tile_pairs(tiles: DataFrame, turn: int | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.int32())], ["a", "b", "key", "band"])
 
     dealt = tiles.repartition(*tile).sortWithinPartitions(*tile)
-    return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(run, "a long, b long, key long, band int")
+    return dealt.select(*tile, "node", "n", "comp", "chunk", "home", "bitmap").mapInArrow(frugal(run), "a long, b long, key long, band int")
 
 
 def _residual_pairs(groups: DataFrame, comps: DataFrame, nodes: DataFrame, turn: int | None, places: DataFrame | None) -> DataFrame:

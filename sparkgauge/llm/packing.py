@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import cut, numbered, table, worker_cache
+from sparkgauge.llm.common import cut, frugal, numbered, table, worker_cache
 
 CAPACITY = 2048
 #: The id after each document.
@@ -221,7 +221,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
                 columns, names = [*columns, pa.array(out["ids"], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import cut, located, settled, table, without_rows
+from sparkgauge.llm.common import cut, frugal, located, settled, table, without_rows
 
 #: Rows that a classifier is fitted on at most (those with the smallest hashes of their id and row): 20 MB of features.
 MAX_TRAIN_ROWS = 200_000
@@ -158,7 +158,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     docs, file, row = located(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), file.alias("file"), row.alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, file long, row long, x array<float>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, file long, row long, x array<float>")
 
 
 def _chosen(rows: DataFrame, max_rows: int) -> Column:
@@ -211,7 +211,7 @@ def score_features(features: DataFrame, model: dict[str, np.ndarray]) -> DataFra
             x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score(model, x))], ["doc_id", "file", "row", "score"])
 
-    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, file long, row long, score double")
+    return features.mapInArrow(frugal(run), f"doc_id {features.schema['doc_id'].dataType.simpleString()}, file long, row long, score double")
 
 
 @settled("quality")
