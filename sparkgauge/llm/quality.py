@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.common import cut, frugal, located, settled, table, without_rows
+from sparkgauge.llm.common import cut, frugal, located, settled, table, without_rows, worker_cache
 
 #: Rows that a classifier is fitted on at most (those with the smallest hashes of their id and row): 20 MB of features.
 MAX_TRAIN_ROWS = 200_000
@@ -150,6 +150,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, file, row, x): each row's place and statistics; nothing but the text goes into x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")  # drops what other operators keep
         for batch in batches:
             x = features_of(batch.column(3))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))
@@ -207,6 +208,7 @@ def score_features(features: DataFrame, model: dict[str, np.ndarray]) -> DataFra
     """``features`` (doc_id, file, row, x) with ``score`` in place of x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")  # drops what other operators keep
         for batch in batches:
             x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score(model, x))], ["doc_id", "file", "row", "score"])
