@@ -344,3 +344,45 @@ def test_a_provider_from_the_environment(tmp_path, monkeypatch):
     assert cli.environment(str(tmp_path))["OTHER"] == "4" and "SPARKGAUGE_KEY" not in cli.environment(str(tmp_path / "none"))
     with pytest.raises(AttributeError):
         cli.provider_of({"SPARKGAUGE_PROVIDER": "json:nothing", "SPARKGAUGE_KEY": "k"})
+
+
+def test_what_is_searched_before_a_pattern(spark):
+    """The tail of a pattern is cheap to search, and is there wherever the pattern is."""
+    from sparkgauge.functions.regexes import java_regex, required_tail
+
+    host = r"\b[a-z0-9-]+\.(intern|internal|local|corp|lan)\b"
+    assert required_tail(host) == r"\.(intern|internal|local|corp|lan)\b"
+    assert required_tail(r"""(secret|token)\s*[:=]\s*["'][^"']{8,}""") == r"""[:=]\s*["'][^"']{8,}"""
+    # nothing costly before it, alternatives, what may be left out, references
+    assert [required_tail(p) for p in (r"a:b", r"[a-z]+:|x", r"[a-z]+:?x", r"(a)[a-z]+:\1", r"(?<q>a+):", r"[a-z]+(:)")] == [""] * 6
+    texts = spark.createDataFrame([("db01.corp",), (".corp",), ("a.corpx",), ("x",)], "t string")
+    found = texts.select(F.col("t").rlike(java_regex(host, "i")).alias("whole"), F.col("t").rlike(java_regex(required_tail(host), "i")).alias("tail")).collect()
+    assert [tuple(r) for r in found] == [(True, True), (False, True), (False, False), (False, False)]
+
+
+def test_lines_normalized_together_and_one_by_one(spark):
+    texts = [
+        "", "\n", " \r\n\t- A  b. \r\n1. c;\n2.\n- \n- .\n a .\n...", "x\ry z 　\n﻿* Σ﻿ΑΣ\n12)\tq ..: \n", "- - a\n- b\n-  \n a\u0085 b\n", "İ \U0001f600, \n\r\n \n:",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select(T.normalized_lines(F.col("t")).alias("together"), F.transform(T.lines_of(F.col("t")), T.normalize_line).alias("each")).collect():
+        assert r["together"] == r["each"]
+
+
+def test_longer_is_the_length_in_units(spark):
+    texts = ["", "abc", "abcd", "ä" * 3, "\U0001f600" * 2, "\U0001f600" * 2 + "a", "€" * 4]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.longer(F.col("t"), 3).alias("more"), T.longer(F.col("t"), 4, equal=True).alias("four"), T.utf16_length(F.col("t")).alias("n"))
+    for r in rows.collect():
+        units = len(r["t"].encode("utf-16-le")) // 2
+        assert (r["n"], r["more"], r["four"]) == (units, units > 3, units >= 4)
+
+
+def test_evidence_is_made_and_redacted_once(spark):
+    """Both kinds of files and the measurements take the same redacted evidence: before, each of them redacted it again."""
+    from sparkgauge.plans.analyze import _MADE, analyze
+
+    docs = spark.createDataFrame([("a.instructions.md", "key AKIA" + "A1" * 8 + "\n")], "path string, content string")
+    assert "AKIAA1" not in str(analyze(docs).first())
+    steps, _ = next(reversed(_MADE.values()))
+    made, redacted = [step for step in steps if any(name.endswith("_evidence") for name in step)]
+    assert any(name.endswith("_shared") for name in steps[0]) and redacted.keys() - made.keys() == {"ai_findings"}
