@@ -386,3 +386,48 @@ def test_evidence_is_made_and_redacted_once(spark):
     steps, _ = next(reversed(_MADE.values()))
     made, redacted = [step for step in steps if any(name.endswith("_evidence") for name in step)]
     assert any(name.endswith("_shared") for name in steps[0]) and redacted.keys() - made.keys() == {"ai_findings"}
+
+
+def _of_length(keys, least):
+    return F.filter(keys, lambda k: T.longer(k, least, equal=True))
+
+
+def test_repeated_lines_by_their_beginnings(spark):
+    """As many as by normalizing every line; before, each line of each text was normalized."""
+    rng = random.Random(7)
+    pool = ["- a line that is long enough to count", "A  line that\tis long enough to count.", "a line that is long enough to count, too", "12. a line that is long enough to count ;:", "x", "", "\u00a0A LINE that is long enough to count\r",
+            "\U0001f600" * 13, "\U0001f600" * 13 + "..", "\U0001f600" * 12 + ".", "İ" * 13, "ΑΣ ΑΣ ΑΣ ΑΣ ΑΣ ΑΣ ΑΣ ΑΣ ΑΣ", "- - twice a bullet, and long enough", "\ufeff* a line\u3000that is long enough to count", "a line that is long enough to counts"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for least in (25, 3, 0, 36.5):
+        long = _of_length(T.normalized_lines(F.col("t")), least)
+        found = rows.select((F.size(long) - F.size(F.array_distinct(long))).alias("each"), T.repeated_lines(F.lower("t"), least).alias("fast")).collect()
+        assert [r["fast"] for r in found] == [r["each"] for r in found] and (least > 30 or any(r["each"] for r in found))
+
+
+def test_texts_of_which_one_is_in_every_match(spark):
+    from sparkgauge.functions.regexes import java_regex, required_texts
+    from sparkgauge.plans.default_criteria import PATTERNS
+
+    given = {p["id"]: required_texts(p["re"], p.get("flags") or "") for ps in PATTERNS.values() for p in ps}
+    assert given["ignore-previous"] == ("disregard", "forget", "ignore") and given["role-override"] == ("you are now",)
+    assert given["internal-tld"] == (".corp", ".intern", ".internal", ".lan", ".local") and given["assigned-secret"] == ("api", "password", "secret", "token")
+    assert [required_texts(*p) for p in (("a|b", ""), ("(ab|c)?", ""), ("(a||b)", ""), ("(?!ab)[c]", ""), ("ab", "iu"), ("(x(ab)|c)", ""), ("a*", ""))] == [()] * 7
+    cases = [("x(ab|cd)?yz", "xyz"), ("ab??cd", "acd"), ("AB+c", "abbC"), ("a{0,2}bc", "BC"), ("(a|b*c)d", "cD"), ("q(ab|c)z", "qCz")]
+    for pattern, text in cases:
+        rows = spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(java_regex(pattern, "i")))
+        assert rows.first()[0] and any(t in text.lower() for t in required_texts(pattern, "i")), pattern
+
+
+def test_signs_of_phrases_and_code_between_fences(spark):
+    """Phrases of several checks are looked for once, where a sign of one is there; before, each check went over the prose."""
+    assert M._signs(["in general", "and so on", "not", "e.g.", "✅", "-x"]) == (["general", "not"], ["-x", "and so on", "e.g.", "✅"])
+    assert M._begins("do not", "do not explain") and not M._begins("no", "not") and M._Phrases(["no", "not", "do not", "NOT"]).implied == {"do not": [2], "no": [0], "not": [1, 3]}
+    texts = ["a\n```\nb\n\nc\n ```x\nd", "```", "a\r\n\r```js\r\nb\r\n", "```\n```\nx\n\t```\n\n", "a ``` b", "a\n\u2028```\nb\n```\n```\nc"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip_code_fences(F.col("t")).alias("s")).collect():
+        out, fenced = [], False
+        for line in regex.split(r"\r?\n", r["t"]):
+            mark = regex.match(r"[\s\ufeff]*```", line) is not None
+            out.append("" if mark or fenced else line)
+            fenced ^= mark
+        assert r["s"] == "\n".join(out), r["t"]
