@@ -431,3 +431,16 @@ def test_signs_of_phrases_and_code_between_fences(spark):
             out.append("" if mark or fenced else line)
             fenced ^= mark
         assert r["s"] == "\n".join(out), r["t"]
+
+
+def test_blocks_and_headings_counted_without_places(spark):
+    """Counts come from whole runs of lines, without numbers of lines; they are those of the evidence."""
+    texts = ["- a\n  b\nloose\n\n  gone\n1. c", "-\r\r\nx", "# h\r\n### k\r\n#\r\nz", "\n" * 30 + "one\n two \n> q\n" + "w " * 30, "- \n12.\té" + "\U0001f600" * 9, "a\r\n\x0b\r\nb\n" * 3, "", "- x\n" * 3000]
+    docs = M.prepare(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    criteria = load_criteria()
+    made = [M.block_length({"kind": k, "limit": n}, criteria) for k in ("listItem", "paragraph") for n in (0, 3, 9)] + [M.heading_structure({"minHeadingsFromLines": 3}, criteria)]
+    rows = docs.select(*[F.struct(m["num"].cast("int").alias("n"), F.size(m.shared()).alias("told")).alias(f"c{i}") for i, m in enumerate(made)]).collect()
+    assert all(cell["n"] == cell["told"] for row in rows for cell in row)
+    assert not any(name in str(m["num"]) for m in made for name in (M.P.body_offset, M.P.raw_lines))
+    assert one(spark, T.paragraph_blocks(F.col("t"), over=3), t="x\ny\n\n long \nline") == ["long line"]
+    assert [M._anchor(t) for t in ("system", "e.g.", "password", "@")] == ["ystem", ".g.", "password", "@"]
